@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe_codec, decontaminate, sharding, simhash_dedup
+from lodestrata.llm import bpe_codec, crf_quality, decontaminate, line_dedup, sharding, simhash_dedup
 from lodestrata.llm.common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -25,13 +26,32 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"), 40)
 
 
+def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return crf_quality.scored(docs, crf_quality.train(docs, load(spark, sf_dir, "labels")))
+
+
+def op8_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(load(spark, sf_dir, "documents"))
+
+
 def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+_OPERATORS = (
+    op4_simhash_deletion_variants,
+    op5_bpe_bitmap_queue,
+    op6_virtual_slots,
+    op7_crf_quality,
+    op8_minhash_lines,
+    op9_wu_manber,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_deletion_variants, op5_bpe_bitmap_queue, op6_virtual_slots, op9_wu_manber)}
+    return {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
