@@ -8,12 +8,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe_codec, crf_quality, decontaminate, line_dedup, sharding, simhash_dedup
+from lodestrata.llm import bpe_codec, crf_quality, decontaminate, exact_topk, license_scan, line_dedup, sharding, simhash_dedup
 from lodestrata.llm.common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return license_scan.scanned(docs, license_scan.train(docs))
+
+
+def op3_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(load(spark, sf_dir, "documents"))
 
@@ -40,6 +49,8 @@ def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OPERATORS = (
+    op2_license_classifier,
+    op3_norm_sorted_topk,
     op4_simhash_deletion_variants,
     op5_bpe_bitmap_queue,
     op6_virtual_slots,
@@ -54,4 +65,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    sql = {"op3_norm_sorted_topk": exact_topk.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text}
