@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe_codec, crf_quality, decontaminate, exact_topk, license_scan, line_dedup, sharding, simhash_dedup
+from lodestrata.llm import bpe_codec, crf_quality, decontaminate, exact_topk, license_scan, line_dedup, sharding, simhash_dedup, suffix_dedup
 from lodestrata.llm.common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,10 @@ def op9_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op10_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(load(spark, sf_dir, "documents"))
+
+
 _OPERATORS = (
     op2_license_classifier,
     op3_norm_sorted_topk,
@@ -57,6 +61,7 @@ _OPERATORS = (
     op7_crf_quality,
     op8_minhash_lines,
     op9_wu_manber,
+    op10_deep_shallow,
 )
 
 
