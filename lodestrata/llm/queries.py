@@ -8,12 +8,16 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe_codec, crf_quality, decontaminate, exact_topk, license_scan, line_dedup, sharding, simhash_dedup, suffix_dedup
+from lodestrata.llm import bpe_codec, chained_passages, crf_quality, decontaminate, exact_topk, license_scan, line_dedup, sharding, simhash_dedup, suffix_dedup
 from lodestrata.llm.common import load
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chained_passages.passages(load(spark, sf_dir, "documents"))
+
+
 def op2_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return license_scan.scanned(docs, license_scan.train(docs))
@@ -53,6 +57,7 @@ def op10_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OPERATORS = (
+    op1_collinear_passages,
     op2_license_classifier,
     op3_norm_sorted_topk,
     op4_simhash_deletion_variants,
