@@ -23,6 +23,11 @@ def count_contained(text: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lexical_tokens(text: Column) -> Column:
     """Distinct tokens in order of first use: ASCII words with ``_ . / : + -`` and bigrams of CJK runs."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(LEXICAL), F.lit(0))
@@ -123,11 +128,13 @@ def clean_label(text: Column) -> Column:
 
 
 def canonical_label(text: Column) -> Column:
-    value = strip(clean_label(text))
-    low = F.lower(value)
-    known = F.create_map(*[F.lit(x) for pair in C.SYNONYMS.items() for x in pair])
-    out = F.coalesce(F.try_element_at(known, low), reduce(lambda rest, p: F.when(low.startswith(p[0]), p[1]).otherwise(rest), reversed(C.LABEL_PREFIXES), F.lit(None).cast("string")))
-    return F.coalesce(out, value)
+    def named(value: Column) -> Column:
+        low = F.lower(value)
+        known = F.create_map(*[F.lit(x) for pair in C.SYNONYMS.items() for x in pair])
+        prefixed = reduce(lambda rest, p: F.when(low.startswith(p[0]), p[1]).otherwise(rest), reversed(C.LABEL_PREFIXES), F.lit(None).cast("string"))
+        return F.coalesce(F.try_element_at(known, low), prefixed, value)
+
+    return let(strip(clean_label(text)), named)
 
 
 def valid_label(label: Column) -> Column:

@@ -92,9 +92,10 @@ def chunks_of(blocks: list[dict], target: int = C.TARGET_TOKENS, limit: int = C.
     heading stay."""
     out: list[dict] = []
     prose: list[dict] = []
+    path = lambda b: [] if b.get("heading_path") is None else list(b["heading_path"])
 
     def add(block: dict, kind: str, content: str, box: list | None) -> None:
-        out.append({"block_type": kind, "heading_path": list(block.get("heading_path") or []), "page": block.get("page"), "bbox": box, "content": content, "estimated_tokens": tokens_of(content), "source_method": block.get("source_method")})
+        out.append({"block_type": kind, "heading_path": path(block), "page": block.get("page"), "bbox": box, "content": content, "estimated_tokens": tokens_of(content), "source_method": block.get("source_method")})
 
     def flush() -> None:
         units = [(p, b.get("bbox")) for b in prose for s in _SENTENCE.split(b["content"].strip()) if s and s.strip() for p in pieces_of(s.strip(), limit)]
@@ -111,7 +112,7 @@ def chunks_of(blocks: list[dict], target: int = C.TARGET_TOKENS, limit: int = C.
             for part in table_parts(content, limit) if kind == "table" else [content.strip()]:
                 add(block, kind, part, block.get("bbox"))
             continue
-        if prose and (prose[0].get("page"), list(prose[0].get("heading_path") or [])) != (block.get("page"), list(block.get("heading_path") or [])):
+        if prose and (prose[0].get("page"), path(prose[0])) != (block.get("page"), path(block)):
             flush()
         prose.append(block)
     flush()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata import config as C
 from lodestrata.functions import text as T
 
-PHRASE = "\\b[A-Z][A-Za-z0-9/+.-]*(?:\\s+[A-Z][A-Za-z0-9/+.-]*){0,4}\\b"
+PHRASE = "(?U)\\b[A-Z][A-Za-z0-9/+.-]*(?:\\s+[A-Z][A-Za-z0-9/+.-]*){0,4}\\b"
 
 
 def phrases(pages: DataFrame, limit: int = 18) -> DataFrame:
@@ -26,11 +26,12 @@ def page_entities(pages: DataFrame, limit: int = C.RULE_ENTITIES) -> DataFrame:
     links = pages.select("page_id", F.posexplode(F.concat(titles, T.wiki_links(F.coalesce("content", F.lit(""))))).alias("at", "raw"), F.lit("wiki_link").alias("source"), F.lit(0.9).alias("confidence"), F.lit(1).alias("kind"))
     headings = pages.select("page_id", F.posexplode(F.slice(F.regexp_extract_all("content", F.lit("(?m)^#{1,4}\\s+(.+)$"), F.lit(1)), 1, 16)).alias("at", "raw"), F.lit("heading").alias("source"), F.lit(0.78).alias("confidence"), F.lit(2).alias("kind"))
     spoken = phrases(pages).select("page_id", F.col("rank").alias("at"), F.col("phrase").alias("raw"), F.lit("phrase").alias("source"), F.lit(0.68).alias("confidence"), F.lit(3).alias("kind"))
-    rows = links.unionByName(headings).unionByName(spoken).withColumn("label", T.canonical_label(F.col("raw")))
-    rows = rows.where(T.valid_label(F.col("label")) & ((F.col("kind") != 3) | ~F.col("label").isin(*C.PHRASE_STOPS))).withColumn("entity_key", T.slug(F.col("label")))
+    described = T.let(T.canonical_label(F.col("raw")), lambda x: F.struct(x.alias("label"), T.valid_label(x).alias("valid"), T.slug(x).alias("entity_key"), T.entity_type(x).alias("entity_type")))
+    rows = links.unionByName(headings).unionByName(spoken).withColumn("d", described).select("page_id", "at", "source", "confidence", "kind", "d.*")
+    rows = rows.where(F.col("valid") & ((F.col("kind") != 3) | ~F.col("label").isin(*C.PHRASE_STOPS)))
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("page_id", "entity_key").orderBy("kind", "at"))).where("rn = 1")
     position = F.row_number().over(Window.partitionBy("page_id").orderBy("kind", "at"))
-    return first.withColumn("position", position).where(F.col("position") <= limit).select("page_id", "position", "entity_key", "label", T.entity_type(F.col("label")).alias("entity_type"), "source", "confidence")
+    return first.withColumn("position", position).where(F.col("position") <= limit).select("page_id", "position", "entity_key", "label", "entity_type", "source", "confidence")
 
 
 def entities(mentions: DataFrame, pages: DataFrame) -> DataFrame:
