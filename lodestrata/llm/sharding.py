@@ -47,8 +47,8 @@ def _assigned(slots: DataFrame, start: Column) -> DataFrame:
         loads = F.transform(state["loads"], lambda x: F.when(x["shard"] == lightest["shard"], F.struct((x["load"] + slot["bytes"]).alias("load"), x["shard"].alias("shard"))).otherwise(x))
         return F.struct(loads.alias("loads"), F.concat(state["placed"], F.array(F.struct(slot["vslot"].alias("vslot"), lightest["shard"].alias("shard")))).alias("placed"))
 
-    zero = F.struct(start.alias("loads"), F.expr("cast(array() as array<struct<vslot:int,shard:int>>)").alias("placed"))
-    return slots.agg(order.alias("o")).select(F.inline(F.aggregate("o", zero, place)["placed"]))
+    zero = F.struct(F.col("start").alias("loads"), F.expr("cast(array() as array<struct<vslot:int,shard:int>>)").alias("placed"))
+    return slots.agg(order.alias("o"), start.alias("start")).select(F.inline(F.aggregate("o", zero, place)["placed"]))
 
 
 def first_map(slots: DataFrame, shards: int) -> DataFrame:
