@@ -34,10 +34,12 @@ def bm25(docs: DataFrame, questions: DataFrame, id_column: str = "doc_id", colum
     asked = question_phrases(questions).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
     stats = indexed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     phrases = asked.select("phrase").distinct()
+    longest = phrases.agg(F.max(F.size("phrase"))).first()[0] or 1
     heads = phrases.select(F.element_at("phrase", 1).alias("term"), "phrase")
-    # one row per place of a phrase's first term; the rest of the phrase is compared in the row's own list
-    places = indexed.select("doc_id", "dl", "terms", F.posexplode("terms").alias("at", "term")).join(heads, "term")
-    hits = places.where(F.slice("terms", F.col("at") + 1, F.size("phrase")) == F.col("phrase"))
+    # a row per place with as many terms as the longest phrase has, so that no row drags its document along
+    windows = F.transform("terms", lambda _, i: F.slice("terms", i + 1, longest))
+    places = indexed.select("doc_id", "dl", F.explode(windows).alias("window")).withColumn("term", F.element_at("window", 1)).join(heads, "term")
+    hits = places.where(F.slice("window", 1, F.size("phrase")) == F.col("phrase"))
     matched = hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = matched.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(C.IDF_FLOOR))
@@ -56,16 +58,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = C.TOP_K, block: int = 64) -> DataFrame:
-    """``(query_id, vec_id, score, rank)``. Both sides are ``(id, embedding)``; questions travel in blocks, each of which meets
-    every vector once, so the shuffle carries blocks rather than pairs."""
+def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = C.TOP_K, block: int = 512) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``. Both sides are ``(id, embedding)``; questions travel in parts of about ``block``,
+    each of which meets every vector once, so the shuffle carries blocks rather than pairs."""
+    parts = max(1, -(-queries.count() // block))
+
     def unit(df: DataFrame, id_column: str) -> DataFrame:
         norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
         return df.where("embedding is not null").select(id_column, F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm)).alias("unit")).where("unit is not null")
 
-    asked = unit(queries, "query_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(block)))
+    asked = unit(queries, "query_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     packed = asked.groupBy("part").agg(F.collect_list(F.struct("query_id", "unit")).alias("asked"))
-    spread = unit(vectors, "vec_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumnRenamed("unit", "v")
+    spread = unit(vectors, "vec_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumnRenamed("unit", "v")
     pairs = spread.join(packed, "part").select("vec_id", "v", F.explode("asked").alias("q"))
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", dot(F.col("q.unit"), F.col("v")).alias("score"))
     return ranked(scored, limit, item="vec_id")

@@ -62,7 +62,7 @@ dr as (select *, cast(row_number() over (partition by query_id order by round(sc
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return retrieval.cosine_topk(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), block=8)
+    return retrieval.cosine_topk(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
 @query(f"with {_DENSE} select query_id, vec_id, rank, round(score, 6) as score from dr where rank <= 20")

@@ -85,6 +85,23 @@ def test_uploads(spark, tmp_path):
     assert os.path.isdir(tmp_path / "raw")
 
 
+def test_word_files(spark, tmp_path):
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    row = lambda *c: "<w:tr>" + "".join(f"<w:tc>{p(x)}</w:tc>" for x in c) + "</w:tr>"
+    body = p("Top", "Heading1") + "<w:tbl>" + row("a", "b") + row("1", "2") + "</w:tbl>" + p("first") + p("Sub", "Heading2") + p("second")
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as out:
+        out.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    (tmp_path / "b.docx").write_bytes(b"not a zip")
+    rows = files.docx_blocks(files.uploads(spark, str(tmp_path)))
+    got = [(r.block_type, r.heading_path, r.content) for r in rows.where("error is null").orderBy("block").collect()]
+    assert got == [("text", ["Top"], "first"), ("text", ["Top", "Sub"], "second"), ("table", ["Top", "Sub"], "| a | b |\n| --- | --- |\n| 1 | 2 |")]
+    files.error_book(rows, "parsing", f"file://{tmp_path}/errors")
+    assert [(r.name, r.stage) for r in spark.read.json(f"file://{tmp_path}/errors").collect()] == [("b.docx", "parsing")]
+
+
 def test_question_sets(spark):
     table = spark.createDataFrame([("| id | t | q | e |",), ("| Q1 | fact | What? | yes |",), ("| Q2 | x |",)], "value string")
     assert [(r.id, r.question) for r in files.question_table(table).collect()] == [("Q1", "What?")]
