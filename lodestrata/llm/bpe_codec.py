@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's symbols stand in a doubly linked list. Each adjacent pair that is itself a token waits in the bucket of its
-merge rank, by position. Three levels of 64-bit words say which buckets are filled; find-first-set on each level gives the
+merge rank, by position. Two levels of 256-bit words say which buckets are filled; find-first-set on each level gives the
 lowest rank in constant time, and a bucket gives its leftmost position first. Entries whose symbols have changed since
 are stale and are skipped when met. A pre-token of n bytes takes O(n log n) at worst, so a text that is one long run of
-letters is no special case. Pre-tokens recur, so results of short ones are kept in a bounded table per task.
+letters is no special case. Pre-tokens recur, so results of short ones are kept in a bounded table per worker.
 
 Cases: a null text is the empty text; an empty text has no tokens and the digests of the empty string; special-token
 strings are ordinary text; repeated rows return a row each; an empty table returns no rows; other columns are ignored.
@@ -14,56 +14,46 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodestrata.llm.common import byte_column, pieces, ship
+from lodestrata.llm.common import byte_column, held, pieces, ship
 
-#: Pre-tokens longer than this are encoded afresh; the table holds at most CACHE_ROWS shorter ones.
-CACHE_BYTES, CACHE_ROWS = 64, 400_000
+#: Pre-tokens longer than this are encoded afresh; the table holds at most CACHE_ROWS shorter ones (about 220 MB).
+CACHE_BYTES, CACHE_ROWS = 64, 1_000_000
+
+
+_BIT = tuple(1 << i for i in range(256))
 
 
 class RankQueue:
-    """Positions in buckets by rank, with a bitmap of filled buckets in three levels of 64-bit words."""
+    """Bitmap of filled buckets in two levels of 256-bit words (a vocabulary of up to 65,536 ranks; larger ones widen the
+    top word). An emptied queue can be used again, so the words are allocated once per vocabulary."""
 
     def __init__(self, ranks: int) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaf = [0] * ((ranks >> 6) + 1)
-        self.middle = [0] * ((ranks >> 12) + 1)
-        self.top = 0  # one bit per middle word
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.leaf[rank >> 6] |= 1 << (rank & 63)
-        self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position."""
-        if not self.top:
-            return None
-        high = (self.top & -self.top).bit_length() - 1
-        word = self.middle[high]
-        mid = high << 6 | ((word & -word).bit_length() - 1)
-        word = self.leaf[mid]
-        rank = mid << 6 | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            self.leaf[mid] &= ~(1 << (rank & 63))
-            if not self.leaf[mid]:
-                self.middle[high] &= ~(1 << (mid & 63))
-                if not self.middle[high]:
-                    self.top &= ~(1 << high)
-        return rank, position
+        self.leaf = [0] * ((ranks >> 8) + 1)
+        self.top_bit = tuple(1 << i for i in range(len(self.leaf)))
+
+
+class _Pieces(dict):
+    """Ids of pre-tokens; a missing one is encoded, and kept if it is short. Cleared when full."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode("utf-8")
+        ids = self.codec.merge(raw)
+        if len(raw) <= CACHE_BYTES:
+            if len(self) >= CACHE_ROWS:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -71,62 +61,100 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.tokens = {rank: token for token, rank in ranks.items()}
         self.size = max(ranks.values(), default=0) + 1
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.tokens: list[bytes | None] = [None] * self.size
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.pairs = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+        self.queue, self.pieces = RankQueue(self.size), _Pieces(self)
+
+    @staticmethod
+    def _join(buckets: dict[int, int | list[int]], rank: int, position: int) -> None:
+        held = buckets[rank]
+        if type(held) is int:
+            buckets[rank] = [held, position] if held < position else [position, held]
+        else:
+            heappush(held, position)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: merges by lowest rank, leftmost first."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return (whole,)
         n = len(piece)
-        ends = list(range(1, n + 1))  # a symbol's end; 0 once it has been merged into the one before
-        before = list(range(-1, n - 1))
-        queue = RankQueue(self.size)
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+        ends = list(range(1, n + 1))  # a symbol's end
+        before = list(range(-1, n))
+        leaf, bit, top_bit, top = self.queue.leaf, _BIT, self.queue.top_bit, 0
+        buckets: dict[int, int | list[int]] = {}  # one position, or several as a heap
+        pairs = self.pairs
+        at_rank = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # the rank of the pair that starts here
+        at_rank.append(None)
+        for i, rank in enumerate(at_rank):
             if rank is not None:
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
-            middle = ends[i]
-            if not middle or middle >= n:
-                continue
-            end = ends[middle]
-            if ranks.get(piece[i:end]) != rank:
-                continue
-            ends[i], ends[middle] = end, 0
+                if rank in buckets:
+                    held = buckets[rank]
+                    if type(held) is int:
+                        buckets[rank] = [held, i]
+                    else:
+                        held.append(i)
+                else:
+                    buckets[rank] = i
+                    leaf[rank >> 8] |= bit[rank & 255]
+                    top |= top_bit[rank >> 8]
+        while top:
+            # find-first-set on either level: the lowest rank, then its leftmost position
+            high = (top & -top).bit_length() - 1
+            word = leaf[high]
+            low = word & -word
+            rank = high << 8 | low.bit_length() - 1
+            i = buckets[rank]
+            if type(i) is int:
+                del buckets[rank]
+                leaf[high] = word = word ^ low
+                if not word:
+                    top &= top - 1
+            else:
+                held = i
+                i = heappop(held)
+                if len(held) == 1:
+                    buckets[rank] = held[0]
+            if at_rank[i] != rank:
+                continue  # stale: a symbol has been merged away or has grown
+            at = ends[i]
+            ends[i] = end = ends[at]
+            at_rank[at] = None
+            left = before[i]
             if end < n:
                 before[end] = i
-                after = ranks.get(piece[i : ends[end]])
-                if after is not None:
-                    queue.push(after, i)
-            left = before[i]
+                at_rank[i] = rank = get(piece[i : ends[end]])
+                if rank is not None:
+                    if rank in buckets:
+                        self._join(buckets, rank, i)
+                    else:
+                        buckets[rank] = i
+                        leaf[rank >> 8] |= bit[rank & 255]
+                        top |= top_bit[rank >> 8]
+            else:
+                at_rank[i] = None
             if left >= 0:
-                joined = ranks.get(piece[left:end])
-                if joined is not None:
-                    queue.push(joined, left)
+                at_rank[left] = rank = get(piece[left:end])
+                if rank is not None:
+                    if rank in buckets:
+                        self._join(buckets, rank, left)
+                    else:
+                        buckets[rank] = left
+                        leaf[rank >> 8] |= bit[rank & 255]
+                        top |= top_bit[rank >> 8]
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : ends[i]]])
-            i = ends[i]
+            at = ends[i]
+            out.append(get(piece[i:at]))
+            i = at
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        cache, out = self.cache, []
-        for piece in self.find(text):
-            ids = cache.get(piece)
-            if ids is None:
-                raw = piece.encode("utf-8")
-                ids = self.merge(raw)
-                if len(raw) <= CACHE_BYTES:
-                    if len(cache) >= CACHE_ROWS:
-                        cache.clear()
-                    cache[piece] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -139,11 +167,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _codec(shared: dict) -> Codec:
-    """The worker's codec of this broadcast vocabulary, built once per process."""
-    held = getattr(_codec, "held", None)
-    if held is None or held[0] != shared["id"]:
-        held = _codec.held = (shared["id"], Codec(shared["ranks"], shared["pattern"]))
-    return held[1]
+    """The worker's codec of this broadcast vocabulary, kept while its tasks need no other operator's tables."""
+    return held(shared["id"], lambda: Codec(shared["ranks"], shared["pattern"]))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
@@ -155,7 +180,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, with_ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         names = [str(i) for i in range(codec.size)]
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 4 << 20, shared.value["id"]):
             counts, digests, backs, kept = [], [], [], []
             for raw in byte_column(batch, "text"):
                 ids = codec.encode(raw.decode("utf-8"))

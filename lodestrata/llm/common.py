@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -57,8 +57,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package: when its folder isn't on PYTHONPATH, Spark's file server sends a zip."""
+    """Lets Python workers import this package: when its folder isn't on PYTHONPATH, Spark's file server sends a zip. Also
+    bounds Arrow batches at 8 MB where the session has Spark's default of 64 MB, as two workers share an executor."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(8 << 20))
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     context = spark.sparkContext
@@ -82,8 +88,23 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else column.type).to_pylist()]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the named column has about ``most`` bytes in each; a longer row stands alone."""
+#: What a Python worker keeps from task to task: one operator's tables at a time.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], object]) -> object:
+    """The worker's table of this name; another one's goes first, so that workers that serve many operators stay small."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
+def pieces(batches: Iterable[pa.RecordBatch], name: str, most: int = 8 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the named column has about ``most`` bytes in each; a longer row stands alone. Drops what the
+    worker holds for others than ``keep``."""
+    if keep not in _HELD:
+        _HELD.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
