@@ -196,7 +196,7 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, "x", 2 << 20):
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         yield batch.select([0, 1]).filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_()))
 
@@ -254,7 +254,7 @@ def line_digest(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, n_lines, n_removed, kept_sha256`` (of the text that stays; null for a null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text", 4 << 20):
             texts, numbers, lids = (batch.column(i).to_pylist() for i in (1, 2, 3))
             out = [_kept((t or "").encode(), n, h) for t, n, h in zip(texts, numbers, lids)]
             yield pa.RecordBatch.from_arrays([
@@ -271,7 +271,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     at = schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text", 4 << 20):
             columns = batch.columns[: len(schema)]
             texts, numbers, lids = columns[at].to_pylist(), batch.column("__numbers").to_pylist(), batch.column("__lids").to_pylist()
             out = [None if t is None else _kept(t.encode(), n, h)[0].decode() if n else t for t, n, h in zip(texts, numbers, lids)]
