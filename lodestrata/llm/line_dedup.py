@@ -8,9 +8,10 @@ occurrence by (doc_id, line number) stays.
 
 Scale: signatures are made in the task that reads the document and only 16-byte records are shuffled. Texts of candidate
 lines alone are fetched, by a second pass over the documents through a fixed-size Bloom filter. A band's group of up to
-``ALL_PAIRS`` lines is compared in full. A larger one (thousands of near copies) would be quadratic: there each line meets
-the group's leader and the next ``NEIGHBOURS`` lines in an order that differs from band to band, which over the bands gives
-every line dozens of partners drawn from its group; components of such groups are found through them.
+``ALL_PAIRS`` lines is written as pairs. A larger one (thousands of lines of one template) is dealt over a triangular grid
+of cells of about ``CROWD`` lines or ``CROWD_BYTES`` of text a side, in which every two lines still meet; a cell counts
+common shingles through an inverted index and emits a spanning forest of its links, so output stays linear. Work on such a
+group grows with its square unless its lines are near copies of each other.
 
 Cases: a null text stays null and has no lines; blank lines are never removed; a line shorter than a shingle is only
 compared exactly; a text all of whose lines go becomes empty and its row stays; repeated rows keep the same lines; rows of
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import byte_column, components, mix64, packed, partitions, pieces, ship, unpacked, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 7, 0.8, 10, 4
-ALL_PAIRS, NEIGHBOURS = 32, 8
+ALL_PAIRS, CROWD, CROWD_BYTES = 32, 2048, 512 << 10
 #: The Bloom filter's bits; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
 _RECORD = np.dtype([("key", "<u8"), ("lid", "<u8")])
@@ -73,9 +74,9 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return keys
 
 
-def candidates(keys: np.ndarray, lids: np.ndarray) -> np.ndarray:
-    """Pairs of line hashes (low, high) that share a key."""
-    order = np.lexsort((mix64(lids ^ keys), keys))
+def candidates(keys: np.ndarray, lids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of line hashes (low, high) that share a key, and (key, line hash) of every line in a group of over ALL_PAIRS."""
+    order = np.lexsort((lids, keys))
     keys, lids = keys[order], lids[order]
     if len(keys):
         new = np.r_[True, (keys[1:] != keys[:-1]) | (lids[1:] != lids[:-1])]
@@ -83,24 +84,19 @@ def candidates(keys: np.ndarray, lids: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
     sizes = np.diff(np.r_[starts, len(keys)])
     size = np.repeat(sizes, sizes)
-    many = np.flatnonzero(size > 1)
-    k, l, s, lead = keys[many], lids[many], size[many], np.repeat(lids[starts], sizes)[many] if len(keys) else lids
+    crowd = np.column_stack([keys[size > ALL_PAIRS], lids[size > ALL_PAIRS]])
+    few = np.flatnonzero((size > 1) & (size <= ALL_PAIRS))
+    k, l = keys[few], lids[few]
     out = [np.empty((0, 2), np.uint64)]
-    big = s > ALL_PAIRS
-    out.append(np.column_stack([lead[big], l[big]]))
     for step in range(1, ALL_PAIRS):
         if len(k) <= step:
             break
-        hit = k[step:] == k[:-step]
-        if step > NEIGHBOURS:
-            hit &= s[step:] <= ALL_PAIRS
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(k[step:] == k[:-step])
         if not len(at):
             break
         out.append(np.column_stack([l[at], l[at + step]]))
     pairs = np.sort(np.concatenate(out), axis=1)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+    return np.unique(pairs, axis=0) if len(pairs) else pairs, crowd
 
 
 def shingles(line: str) -> set[str]:
@@ -117,6 +113,32 @@ def similar(a: str, b: str) -> bool:
     return both >= SIMILARITY * (len(x) + len(y) - both) and both > 0
 
 
+def crowd_links(lines: list[str]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among lines, by their places in the list; every line must have SHINGLE characters."""
+    known: dict[str, int] = {}
+    sets = [np.fromiter({known.setdefault(x, len(known)) for x in shingles(line)}, np.int64) for line in lines]
+    sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+    held = np.bincount(flat, minlength=len(known))
+    holders = np.repeat(np.arange(len(lines)), sizes)[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(held)
+    rest, out = np.ones(len(lines), bool), []
+    for first in range(len(lines)):
+        if not rest[first]:
+            continue
+        queue, rest[first] = [first], False
+        while queue and rest.any():
+            i = queue.pop()
+            mine = sets[i][held[sets[i]] > 1]  # a shingle of one line adds to no other's count
+            if not len(mine):
+                continue
+            both = np.bincount(np.concatenate([holders[a:b] for a, b in zip(ends[mine] - held[mine], ends[mine])]), minlength=len(lines))
+            near = np.flatnonzero(rest & (both > 0) & (both >= SIMILARITY * (sizes + sizes[i] - both)))
+            rest[near] = False
+            out += [(i, int(j)) for j in near]
+            queue += near.tolist()
+    return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 
@@ -132,7 +154,7 @@ def _lines_of(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarra
 
 
 def _candidate_pairs(docs: DataFrame) -> DataFrame:
-    """``(a, b)``: distinct candidate pairs of line hashes."""
+    """``(a, b, crowd)``: distinct candidate pairs of line hashes; with ``crowd``, a large group's key and a line hash of it."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a line's records take about as many bytes as half its text: 8 MB of them to a partition
@@ -153,11 +175,11 @@ def _candidate_pairs(docs: DataFrame) -> DataFrame:
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = unpacked(batches, _RECORD)
-        pairs = candidates(records["key"], records["lid"])
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(pairs[:, 0].copy())), pa.array(_signed(pairs[:, 1].copy()))], names=["a", "b"])
+        for rows, crowd in zip(candidates(records["key"], records["lid"]), (False, True)):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(rows[:, 0].copy())), pa.array(_signed(rows[:, 1].copy())), pa.array(np.full(len(rows), crowd))], names=["a", "b", "crowd"])
 
     dealt = docs.select("text").mapInArrow(sign, "bucket int, blob binary").repartition(parts, "bucket")
-    return dealt.mapInArrow(pair, "a long, b long").distinct()
+    return dealt.mapInArrow(pair, "a long, b long, crowd boolean").distinct()
 
 
 def _bloom(lids: DataFrame) -> np.ndarray:
@@ -179,10 +201,10 @@ def _passes(words: np.ndarray, lids: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(lid, text)``: the distinct lines whose hash is in the pairs (and a few more that the filter lets through)."""
+def _texts(docs: DataFrame, lids: DataFrame) -> DataFrame:
+    """``(lid, text)``: the distinct lines whose hash is in ``lids`` (and a few more that the filter lets through)."""
     spark = docs.sparkSession
-    filter_ = spark.sparkContext.broadcast(_bloom(pairs.select(F.col("a").alias("lid")).union(pairs.select("b"))))
+    filter_ = spark.sparkContext.broadcast(_bloom(lids))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -201,12 +223,47 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_()))
 
 
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of cells, whose rows come one cell after the other."""
+
+    def linked() -> pa.RecordBatch:
+        found = crowd_links(texts)
+        return pa.RecordBatch.from_arrays([pa.array([lids[i] for i, _ in found], pa.int64()), pa.array([lids[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+    at, lids, texts = None, [], []
+    for batch in pieces(batches, "text", 2 << 20):
+        for key, cell, lid, text in zip(*(batch.column(n).to_pylist() for n in ("key", "cell", "lid", "text"))):
+            if at != (key, cell):
+                if len(lids) > 1:
+                    yield linked()
+                at, lids, texts = (key, cell), [], []
+            lids.append(lid)
+            texts.append(text)
+    if len(lids) > 1:
+        yield linked()
+
+
+def _crowd_links(crowd: DataFrame, n: int, texts: DataFrame) -> DataFrame:
+    """``(a, b)``: links within the ``n`` rows of ``crowd(key, lid)``, each key's lines compared in all pairs."""
+    spark = crowd.sparkSession
+    sizes = crowd.join(texts.select("lid", F.octet_length("text").alias("bytes")), "lid").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sides = sizes.select("key", F.greatest(F.ceil(F.col("n") / CROWD), F.ceil(F.col("bytes") / CROWD_BYTES)).cast("int").alias("sides"))
+    mine = F.pmod(F.xxhash64("lid"), "sides").cast("int").alias("mine")
+    spread = crowd.join(sides, "key").select("key", "lid", "sides", mine, F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+    cells = spread.select("key", "lid", (F.least("mine", "other").cast("long") * F.col("sides") + F.greatest("mine", "other")).alias("cell"))
+    dealt = cells.join(texts, "lid").repartition(max(partitions(spark), n // 20_000), "key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.select("key", "cell", "lid", "text").mapInArrow(_crowded, "a long, b long")
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """``(lid, check, root)`` of every line that is linked to a line of another text, with its component."""
-    pairs = written(_candidate_pairs(docs), "line-pairs")
-    texts = written(_texts(docs, pairs), "line-texts")
+    found = written(_candidate_pairs(docs), "line-pairs")
+    pairs, crowd = found.where("not crowd").select("a", "b"), found.where("crowd").select(F.col("a").alias("key"), F.col("b").alias("lid"))
+    texts = written(_texts(docs, pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(crowd.select("lid"))), "line-texts")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("text").alias("y")), "b")
-    links = written(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "line-links")
+    links = both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    n = crowd.count()
+    links = written(links.union(_crowd_links(crowd, n, texts)) if n else links, "line-links")
     roots = components(links)
     every = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     return texts.join(every, texts["lid"] == every["node"]).select("lid", F.xxhash64("text").alias("check"), "root")

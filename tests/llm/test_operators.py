@@ -149,6 +149,35 @@ def test_lines_of_a_table_match_brute_force(spark, sf_dir):
     assert sum(got[d] != n for d, n in gone.items()) <= 0.01 * len(gone)  # banding finds 99.5 % of pairs at 0.8
 
 
+def test_lines_of_a_large_mixed_group_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    template, lines = letters(150), []
+    for _ in range(1400):  # about 0.6 to 0.7 alike through the template
+        lines.append(template + letters(int(rng.integers(34, 46))) + ".")
+        if rng.random() < 0.4:  # at 0.8 or more to the one before
+            cut = int(rng.integers(150, 180))
+            lines.append(lines[-1][:cut] + "#" + lines[-1][cut + 1 :])
+    lines = [lines[i] for i in rng.permutation(len(lines))]
+    assert np.unique(line_dedup.band_keys([x.encode() for x in lines]), return_counts=True)[1].max() > 500
+    root = list(range(len(lines)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    sets = [line_dedup.shingles(x) for x in lines]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both >= 0.8 * (len(x) + len(sets[j]) - both):
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
+    gone = {i for i in range(len(lines)) if find(i) != i}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    assert len(gone) > 400 and len(gone) < len(lines) / 2
+    for crowd in (line_dedup.CROWD, 200):  # a group in one cell, and over a grid
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        got = {r.doc_id for r in line_dedup.line_digest(docs).where("n_removed > 0").collect()}
+        assert got <= gone and len(got) >= 0.99 * len(gone)
+
+
 def test_decontamination(spark, sf_dir, odd, none, monkeypatch):
     bench = [(r.item_id, r.text.encode()) for r in table(spark, sf_dir, "benchmark").collect()]
     got = {r.doc_id: r for r in queries.queries()["op9_wu_manber"](spark, sf_dir).collect()}
