@@ -56,7 +56,8 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         fps = np.array([fingerprint(t) for t in byte_column(batch, "text")], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        rest = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(fps)], names=[*rest, "fp"])
 
 
 def _variants(fps: np.ndarray, hot: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +138,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def groups(prints: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` of every distinct fingerprint of ``prints(doc_id, fp)``."""
+def rooted(prints: DataFrame) -> DataFrame:
+    """``(fp, first, root)`` of every distinct fingerprint of ``prints(doc_id, fp)``: its smallest doc_id and the smallest
+    fingerprint of its component."""
     spark = prints.sparkSession
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     shifted = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1).cast("long")) for a, n in SEGMENTS]
@@ -166,9 +168,14 @@ def groups(prints: DataFrame) -> DataFrame:
 
     dealt = distinct.select("fp").mapInArrow(spread, "bucket int, blob binary").repartition(buckets // 4, "bucket")
     roots = components(dealt.mapInArrow(verify, "a long, b long"))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def groups(prints: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` of every distinct fingerprint of ``prints(doc_id, fp)``."""
+    found = rooted(prints)
+    smallest = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    return found.join(smallest, "root").select("fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -180,7 +187,13 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the first in doc_id order."""
-    member = simhash_groups(docs).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
-    kept = member.where(F.col("doc_id") == F.col("__component")).select(F.col("doc_id").alias("__kept"))
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    """``docs`` with one row of each near-duplicate group: the first in doc_id order, of several rows of that doc_id the one
+    of the smallest hash over all columns. Rows of one doc_id whose texts are of different groups stay; rows without doc_id
+    go."""
+    ship(docs.sparkSession)
+    marked = docs.where("doc_id is not null").withColumn("__row", F.xxhash64(*docs.columns))
+    prints = written(marked.select("doc_id", "text", "__row").mapInArrow(_fingerprints, "doc_id long, __row long, fp long"), "fingerprints")
+    found = rooted(prints.select("doc_id", "fp")).select(F.col("fp").alias("g"), "root")
+    first = prints.join(found, F.col("fp") == F.col("g")).groupBy("root").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("__kept"), F.col("first.__row").alias("__first"))
+    return marked.join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__row") == F.col("__first")), "left_semi").dropDuplicates(["doc_id", "__row"]).drop("__row")

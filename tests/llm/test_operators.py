@@ -61,6 +61,17 @@ def test_simhash(spark, sf_dir, odd, none):
     assert simhash_dedup.simhash_groups(none).count() == 0
 
 
+def test_simhash_keeps_every_text_of_a_repeated_id(spark):
+    one, two, three = (" ".join(f"{w}{i * i % 89}" for i in range(80)) for w in ("red", "blue", "green"))
+    rows = [(5, one, "b"), (5, two, "a"), (5, one, "a"), (5, one, "a"), (7, three, "a"), (9, two, "a")]
+    for seed in (0, 1):
+        docs = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(len(rows))], "doc_id long, text string, lang string")
+        kept = [tuple(r) for r in simhash_dedup.keep_one(docs).collect()]
+        assert sorted(x[:2] for x in kept) == sorted([(5, one), (5, two), (7, three)])
+        assert seed == 0 or sorted(kept) == before
+        before = sorted(kept)
+
+
 def test_bpe(spark, sf_dir, odd, none):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_codec.read_ranks(path), special_tokens={})
