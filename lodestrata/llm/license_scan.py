@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class, confirmed by template comparison.
 
-Paragraphs are lines. A sparse multinomial logistic regression over word 1- to 3-grams gives each paragraph a licence
+Paragraphs are lines, and runs of lines without a wordless one between them that together hold a notice wrapped over them.
+A sparse multinomial logistic regression over word 1- to 3-grams gives each paragraph a licence
 family or ``unknown``. It is trained here: positives are variants of the public notices below (words dropped, numbers
 changed, ordinary words around them); negatives are a bounded sample of the corpus's own paragraphs, at most
 ``NEGATIVES`` (those that resemble a notice are left out), and everyday sentences about licences. A temperature fitted on
@@ -130,6 +131,10 @@ def _shingled(words: list[bytes]) -> frozenset[tuple[bytes, ...]]:
     return frozenset(tuple(masked[i : i + SHINGLE]) for i in range(max(1, len(masked) - SHINGLE + 1))) if masked else frozenset()
 
 
+#: Of each template: family, words and shingles, and the distinct words that aren't numbers.
+_WHOLE = [(f, w := words_of(t.encode()), _shingled(w), frozenset(x for x in w if not x.isdigit())) for f, texts in sorted(TEMPLATES.items()) for t in texts]
+#: The fewest of n shingles that confirm.
+_LEAST = {n: min(m for m in range(1, n + 1) if m / n >= CONFIRM) for n in {len(x[2]) for x in _WHOLE}}
 _SHAPES = {family: [(len(words_of(t.encode())), _shingled(words_of(t.encode()))) for t in texts] for family, texts in TEMPLATES.items()}
 
 
@@ -147,6 +152,45 @@ def containment(family: str, words: list[bytes]) -> float:
     return best
 
 
+def _share(template: tuple, words: list[bytes]) -> float:
+    """The share of a template's shingles that the words have."""
+    _, own, shape, _ = template
+    if len(own) >= SHINGLE:
+        return len(_shingled(words) & shape) / len(shape)
+    masked, target = [b"0" if w.isdigit() else w for w in words], next(iter(shape))
+    return float(any(tuple(masked[i : i + len(own)]) == target for i in range(len(masked) - len(own) + 1)))
+
+
+def wrapped(lines: list[list[bytes]]) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of two or more lines that hold CONFIRM of a template's shingles."""
+    known = set().union(*lines)
+    out = set()
+    for template in _WHOLE:
+        _, own, shape, distinct = template
+        # every missing word lacks a shingle, the last one up to SHINGLE words
+        lost = len(shape) - _LEAST[len(shape)]
+        missing = lost + SHINGLE - 1 if lost else 0
+        if len(distinct - known) > missing:
+            continue
+        start = 0
+        while start < len(lines):
+            holds = lambda a, b: _share(template, [w for line in lines[a:b] for w in line]) >= CONFIRM
+            if not holds(start, len(lines)):
+                break
+            low, high = start + 1, len(lines)  # the first end that is enough, then the last start
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if holds(start, middle) else (middle + 1, high)
+            end, first, last = low, start, low - 1
+            while first < last:
+                middle = (first + last + 1) // 2
+                first, last = (middle, last) if holds(middle, end) else (first, middle - 1)
+            if end - first > 1:
+                out.add((first, end - 1))
+            start = first + 1
+    return sorted(out)
+
+
 class Model:
     """Vocabulary, weights per n-gram and class, and the temperature."""
 
@@ -218,15 +262,37 @@ class Model:
     def paragraphs(self, text: bytes) -> tuple[int, list[tuple[int, str, float, bool]]]:
         """How many paragraphs there are, and (line, family, probability, confirmed) of those with a licence."""
         count, found = 0, []
+        block: list[list[bytes]] = []
         for number, line in enumerate(text.split(b"\n")):
             words = line.translate(_TABLE).split()
             count += bool(words) or bool(line.strip())
+            if not words:
+                found += self._runs(block, number)
+                block = []
+                continue
+            block.append(words)
             if self.triggers.isdisjoint(words):
                 continue
             family, p = self.predict(words)
             if family != UNKNOWN and p >= MIN_P:
-                found.append((number, family, p, containment(family, words) >= CONFIRM))
-        return count, found
+                found.append((number, number, family, p, containment(family, words) >= CONFIRM))
+        found += self._runs(block, number + 1)
+        runs = [f[:2] for f in found if f[0] < f[1]]
+        # the lines of a wrapped notice are its fragments unless they are confirmed on their own
+        kept = [f for f in found if f[0] < f[1] or f[4] or not any(a <= f[0] <= b for a, b in runs)]
+        return count, [(f[0], *f[2:]) for f in sorted(kept)]
+
+    def _runs(self, block: list[list[bytes]], end: int) -> list[tuple[int, int, str, float, bool]]:
+        """(first line, last line, family, probability, confirmed) of the notices wrapped over lines of a block."""
+        out = []
+        if len(block) < 2 or all(map(self.triggers.isdisjoint, block)):
+            return out
+        for a, b in wrapped(block):
+            words = [w for line in block[a : b + 1] for w in line]
+            family, p = self.predict(words)
+            if family != UNKNOWN and p >= MIN_P and containment(family, words) >= CONFIRM:
+                out.append((end - len(block) + a, end - len(block) + b, family, p, True))
+        return out
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

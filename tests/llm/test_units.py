@@ -2,6 +2,7 @@
 
 import base64
 import random
+import textwrap
 from itertools import combinations
 
 import numpy as np
@@ -222,3 +223,17 @@ def test_licences():
     count, found = model.paragraphs(text)
     assert count == 4 and [(f[0], f[1], f[3]) for f in found] == [(2, "MIT", True), (3, "GPL", True)]
     assert model.paragraphs(b"") == (0, [])
+
+
+def test_licence_wrapped_over_lines():
+    words = "stone river walked under table with many small quiet horses and old trees near town".split()
+    rng = random.Random(41)
+    model = license_scan.Model([" ".join(rng.choices(words, k=25)).encode() for _ in range(200)])
+    for family, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            for width in (72, 80):
+                lines = textwrap.wrap(text, width)
+                if len(lines) > 1 and model.predict(license_scan.words_of(text.encode()))[0] == family:
+                    body = "A stone walked.\n\n * " + "\n * ".join(lines) + "\n\nQuiet horses."
+                    count, found = model.paragraphs(body.encode())
+                    assert count == len(lines) + 2 and [f[:2] + f[3:] for f in found if f[3]][:1] == [(2, family, True)], (text, found)
