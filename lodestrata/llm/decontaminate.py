@@ -10,7 +10,8 @@ The patterns are broadcast in parts of at most ``PART_BYTES`` of item text, what
 documents are read once for each part and the parts' hits are merged per document.
 
 Cases: null and wordless texts have no words and no hits; an item without words matches nothing; items with equal windows
-all count; repeated rows of documents return a row each and repeated item_ids count once; an empty benchmark marks
+all count; repeated rows of documents return a row
+each, rows of one doc_id with different texts have their own hits, and repeated item_ids count once; an empty benchmark marks
 nothing; an empty documents table returns no rows; other columns are ignored.
 """
 
@@ -118,21 +119,21 @@ def _searched(docs: DataFrame, part: list[tuple[int, bytes]]) -> DataFrame:
                 counts.append(len(words))
                 flat.append([x for span in _covered(spans) for x in span])
                 found.append(sorted(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64())), batch.column(2)], names=["doc_id", "n_words", "spans", "items", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, spans array<int>, items array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, n_words long, spans array<int>, items array<long>, row long")
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Hits of several parts put together; a row's place among equal doc_ids is told by its words and its spans are
-    united per doc_id and word count."""
-    whole = parts[0].groupBy("doc_id", "n_words").agg(F.count("*").alias("copies"))
+    """Hits of several parts put together; rows of one doc_id are told apart by the hash of their text and spans are
+    united per doc_id and text."""
+    whole = parts[0].groupBy("doc_id", "n_words", "row").agg(F.count("*").alias("copies"))
     hits = parts[0].where("size(items) > 0")
     for other in parts[1:]:
         hits = hits.union(other.where("size(items) > 0"))
     # a group has a row per part with hits, and repeated rows of one document hold the same spans
-    met = hits.distinct().groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    joined = whole.join(met, whole["doc_id"].eqNullSafe(met["doc_id"]) & (whole["n_words"] == met["n_words"]), "left").select(whole["doc_id"], whole["n_words"], F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), "copies")
+    met = hits.distinct().groupBy("doc_id", "n_words", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    joined = whole.join(met, whole["doc_id"].eqNullSafe(met["doc_id"]) & (whole["row"] == met["row"]), "left").select(whole["doc_id"], whole["n_words"], F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), "copies")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items")
 
 
