@@ -10,7 +10,7 @@ The patterns are broadcast in parts of at most ``PART_BYTES`` of item text, what
 documents are read once for each part and the parts' hits are merged per document.
 
 Cases: null and wordless texts have no words and no hits; an item without words matches nothing; items with equal windows
-all count; repeated rows of documents return a row
+all count; an item without item_id is searched and hit, but isn't counted or listed; repeated rows of documents return a row
 each, rows of one doc_id with different texts have their own hits, and repeated item_ids count once; an empty benchmark marks
 nothing; an empty documents table returns no rows; other columns are ignored.
 """
@@ -41,8 +41,8 @@ def words_of(text: bytes) -> list[bytes]:
 class Patterns:
     """Shift tables and suffix buckets of one part of the benchmark, by pattern length."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        owners: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+    def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
+        owners: dict[int, dict[tuple[bytes, ...], set[int | None]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             words = words_of(text)
             m = min(len(words), WINDOW)
@@ -57,7 +57,7 @@ class Patterns:
                 for j in range(b, m + 1):
                     block = b" ".join(words[j - b : j])
                     shift[block] = min(shift.get(block, m), m - j)
-                buckets[b" ".join(words[m - b :])][words] = frozenset(ids)
+                buckets[b" ".join(words[m - b :])][words] = frozenset(ids - {None})
             self.tables.append((m, b, shift, dict(buckets)))
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -91,11 +91,11 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
+def _parts(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
     """Items in parts of bounded bytes. Items come to the driver one partition at a time."""
-    parts: list[list[tuple[int, bytes]]] = [[]]
+    parts: list[list[tuple[int | None, bytes]]] = [[]]
     size = 0
-    for row in benchmark.select("item_id", F.encode("text", "UTF-8").alias("text")).where("text is not null and item_id is not null").toLocalIterator():
+    for row in benchmark.select("item_id", F.encode("text", "UTF-8").alias("text")).where("text is not null").toLocalIterator():
         raw = bytes(row.text)
         if size and size + len(raw) > PART_BYTES:
             parts.append([])
@@ -105,7 +105,7 @@ def _parts(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
     return parts
 
 
-def _searched(docs: DataFrame, part: list[tuple[int, bytes]]) -> DataFrame:
+def _searched(docs: DataFrame, part: list[tuple[int | None, bytes]]) -> DataFrame:
     ship(docs.sparkSession)
     items = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -128,9 +128,9 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     """Hits of several parts put together; rows of one doc_id are told apart by the hash of their text and spans are
     united per doc_id and text."""
     whole = parts[0].groupBy("doc_id", "n_words", "row").agg(F.count("*").alias("copies"))
-    hits = parts[0].where("size(items) > 0")
+    hits = parts[0].where("size(spans) > 0")
     for other in parts[1:]:
-        hits = hits.union(other.where("size(items) > 0"))
+        hits = hits.union(other.where("size(spans) > 0"))
     # a group has a row per part with hits, and repeated rows of one document hold the same spans
     met = hits.distinct().groupBy("doc_id", "n_words", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     joined = whole.join(met, whole["doc_id"].eqNullSafe(met["doc_id"]) & (whole["row"] == met["row"]), "left").select(whole["doc_id"], whole["n_words"], F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), "copies")
