@@ -54,7 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestrata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes the folder of a table that ``written`` made and that nothing reads any more."""
+    _remove(table.sparkSession, table.folder)
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -82,6 +89,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string or binary column as UTF-8 bytes; null becomes empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -193,13 +212,16 @@ def components(edges: DataFrame) -> DataFrame:
     live = written(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "links")
     before = None
     while True:
+        # minima are tables of their own, so that a join's hot key (the hub of a large group) can be split
         both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).union(live.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "star")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        pairs = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        small = pairs.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        live = written(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "star")
+        pairs = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "star")
+        least = written(pairs.groupBy("u").agg(F.min("v").alias("m")), "star")
+        small = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        old, live = live, written(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "star")
+        for table in (old, low, pairs, least):
+            dropped(table)
         now = tuple(live.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return live.select(F.col("a").alias("node"), F.col("b").alias("root"))

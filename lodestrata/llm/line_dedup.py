@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import byte_column, components, mix64, packed, partitions, pieces, ship, unpacked, written
+from lodestrata.llm.common import byte_column, components, mix64, packed, partitions, pieces, ship, unpacked, unused, written
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 7, 0.8, 10, 4
 ALL_PAIRS, CROWD, CROWD_BYTES = 32, 2048, 512 << 10
+#: Bits of a line's bitmap in the comparison.
+SKETCH = 4096
 #: The Bloom filter's bits; its size doesn't depend on the data.
 FILTER_BITS = 1 << 26
 _RECORD = np.dtype([("key", "<u8"), ("lid", "<u8")])
@@ -44,11 +46,12 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line)
 
 
-def band_keys(lines: list[bytes]) -> np.ndarray:
-    """(lines, BANDS) keys; every line must have SHINGLE characters."""
-    points = [np.frombuffer(line.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32) for line in lines]
-    counts = np.array([len(p) - SHINGLE + 1 for p in points])
-    text = np.concatenate(points)
+def rolled(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles of the lines, one line after the other, and each line's first place among them; every
+    line must have SHINGLE characters."""
+    raw = "".join(lines).encode("utf-32-le", "surrogatepass")
+    text = np.frombuffer(raw, np.uint32)
+    counts = np.fromiter(map(len, lines), np.int64, len(lines)) - (SHINGLE - 1)
     width = len(text) - SHINGLE + 1
     shingle = np.zeros(width, np.uint32)
     with np.errstate(over="ignore"):
@@ -62,7 +65,13 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
         shingle = shingle[inside[:width]]
         shingle = shingle * np.uint32(0x85EBCA6B)
         shingle ^= shingle >> np.uint32(13)
-        at = np.cumsum(counts) - counts
+    return shingle, np.cumsum(counts) - counts
+
+
+def band_keys(lines: list[bytes]) -> np.ndarray:
+    """(lines, BANDS) keys; every line must have SHINGLE characters."""
+    shingle, at = rolled([line.decode("utf-8", "surrogatepass") for line in lines])
+    with np.errstate(over="ignore"):
         keys = np.empty((len(lines), BANDS), np.uint64)
         permuted = np.empty_like(shingle)
         for band in range(BANDS):
@@ -103,16 +112,73 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
-def similar(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    x, y = shingles(a), shingles(b)
+def similar(x: set[str], y: set[str]) -> bool:
     if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
         return False
     both = len(x & y)
     return both >= SIMILARITY * (len(x) + len(y) - both) and both > 0
 
 
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each line's hashed shingles, and how many shingles it has at most."""
+    out, most = np.empty((len(lines), SKETCH // 64), np.uint64), np.fromiter(map(len, lines), np.int64, len(lines)) - (SHINGLE - 1)
+    for a in range(0, len(lines), 2048):
+        hashes, at = rolled(lines[a : a + 2048])
+        n = len(at)
+        flags = np.zeros(n * SKETCH, bool)
+        owner = np.repeat(np.arange(n, dtype=np.int64) * SKETCH, np.diff(np.r_[at, len(hashes)]))
+        flags[owner + (hashes >> np.uint32(8) & np.uint32(SKETCH - 1)).astype(np.int64)] = True
+        out[a : a + n] = np.packbits(flags.reshape(n, SKETCH), axis=1).view(np.uint64)
+    return out, most
+
+
+def _prefix(x: str, y: str) -> int:
+    """How many characters x and y begin with in common."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if x[low:middle] == y[low:middle] else (low, middle - 1)
+    return low
+
+
+def verified(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of places in ``lines`` has a Jaccard similarity of SIMILARITY or more. Sets that are that alike
+    differ in at most (1 - s) / (1 + s) of their elements, and every bit in which two bitmaps differ is an element that the
+    sets differ in: what a bitmap rules out needs no sets. Nor does a pair whose common beginning and end hold enough."""
+    bits, most = sketches(lines)
+    ok = np.zeros(len(a), bool)
+    for at in range(0, len(a), 8192):
+        x, y = a[at : at + 8192], b[at : at + 8192]
+        ok[at : at + 8192] = np.bitwise_count(bits[x] ^ bits[y]).sum(1) * (1 + SIMILARITY) <= (1 - SIMILARITY) * (most[x] + most[y]) + 1e-6
+    least = np.bitwise_count(bits).sum(1).tolist()  # a line has a shingle for each of its bits
+    unsure = []
+    for i in np.flatnonzero(ok).tolist():
+        p, q = int(a[i]), int(b[i])
+        x, y = lines[p], lines[q]
+        front = _prefix(x, y)
+        back = _prefix(x[front:][::-1], y[front:][::-1])
+        shared = max(0, front - SHINGLE + 1) + max(0, back - SHINGLE + 1)
+        m, n = len(x) - SHINGLE + 1, len(y) - SHINGLE + 1
+        both = max(least[p] - (m - shared), least[q] - (n - shared))
+        if both <= 0 or both * (1 + SIMILARITY) < SIMILARITY * (m + n):
+            unsure.append(i)
+    may = np.array(unsure, np.int64)
+    last = np.full(len(lines), -1)
+    last[a[may]] = may
+    last[b[may]] = np.maximum(last[b[may]], may)
+    sets: dict[int, set[str]] = {}
+    for i in may.tolist():
+        x, y = int(a[i]), int(b[i])
+        for line in (x, y):
+            if line not in sets:
+                sets[line] = shingles(lines[line])
+        ok[i] = similar(sets[x], sets[y])
+        for line in (x, y):
+            if last[line] == i:
+                sets.pop(line, None)  # no later pair has it
+    return ok
+
+
 def crowd_links(lines: list[str]) -> list[tuple[int, int]]:
     """A spanning forest of the links among lines, by their places in the list; every line must have SHINGLE characters."""
     known: dict[str, int] = {}
@@ -219,8 +285,9 @@ def _texts(docs: DataFrame, lids: DataFrame) -> DataFrame:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "x", 2 << 20):
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        yield batch.select([0, 1]).filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_()))
+        known: dict[str, int] = {}
+        a, b = (np.fromiter((known.setdefault(t, len(known)) for t in batch.column(i).to_pylist()), np.int64, batch.num_rows) for i in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array(verified(list(known), a, b), pa.bool_()))
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +353,8 @@ def removals(docs: DataFrame) -> DataFrame:
     grouped = lines.join(line_groups(docs), ["lid", "check"], "left")
     # a component has one key; a line without one is keyed by both its hashes
     keyed = grouped.select("doc_id", "number", "lid", F.coalesce("root", "lid").alias("g"), F.when(F.col("root").isNull(), F.col("check")).otherwise(0).alias("h"))
-    first = keyed.groupBy("g", "h").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # as a table of its own, so that the join's hot keys (one line in a third of all documents) can be split
+    first = written(keyed.groupBy("g", "h").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
     gone = keyed.join(first, ["g", "h"]).where(~F.struct("doc_id", "number").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_list("number").alias("numbers"), F.collect_list("lid").alias("lids"))
 
@@ -303,8 +371,10 @@ def _kept(text: bytes, numbers: list[int] | None, lids: list[int] | None) -> tup
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    gone = removals(docs).select(F.col("doc_id").alias("__id"), F.col("numbers").alias("__numbers"), F.col("lids").alias("__lids"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    """``docs`` with two more columns at the end: the numbers and the hashes of the lines that go."""
+    own, numbers, lids = unused(docs, "gone_id", "gone_numbers", "gone_lids")
+    gone = removals(docs).toDF(own, numbers, lids)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[own]), "left").drop(own)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
@@ -329,8 +399,8 @@ def drop_lines(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 4 << 20):
-            columns = batch.columns[: len(schema)]
-            texts, numbers, lids = columns[at].to_pylist(), batch.column("__numbers").to_pylist(), batch.column("__lids").to_pylist()
+            columns, (numbers, lids) = batch.columns[: len(schema)], (x.to_pylist() for x in batch.columns[len(schema) :])
+            texts = columns[at].to_pylist()
             out = [None if t is None else _kept(t.encode(), n, h)[0].decode() if n else t for t, n, h in zip(texts, numbers, lids)]
             columns[at] = pa.array(out, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
