@@ -8,14 +8,16 @@ Sorting every suffix of the corpus in one array doesn't spread over machines, so
 anchors at equal offsets, so only suffixes at anchors (about one byte in forty) need to meet. An anchor's context is all
 that any window around it can hold: ``LEFT`` bytes before it and 100 from it on.
 
-1. Anchors are dealt by the hash of their gram; equal contexts (64-bit hash of up to 176 bytes, with the gram's) are
-   settled without their bytes: all but the first are covered. A batch settles its own equal contexts before the shuffle, so
-   a passage held by a third of all documents sends one record per batch.
-2. Where a gram has several contexts, one of each sends its bytes. Their suffixes are sorted: multikey quicksort down to the
+1. A task sorts the suffixes at its own anchors: of anchors whose whole contexts are equal (neighbours in that order with
+   equal bytes on the left) all but the first are covered, and the first alone goes on, so a passage held by a third of all
+   documents sends one record per slice of a batch. What goes on is dealt by the hash of its gram, which only says who meets.
+2. Where a gram has several anchors, each sends its context's bytes. Their suffixes are sorted: multikey quicksort down to the
    shallow depth of ``GRAM`` bytes, then blind tries for the groups that are still equal there. Common prefixes come from
    neighbours in that order, common left contexts by comparison; an earlier member with which L bytes on the left and R on
    the right agree, L + R >= 100, covers [p - L, p + R). In groups of over ``PAIRS`` members each window offset is settled
-   on its own: members whose windows are equal form a run of the sorted suffixes, and all but its first are covered.
+   on its own: members whose windows are equal form a run of the sorted suffixes, and all but its first are covered. A gram
+   of over ``HOT`` anchors is dealt anew by ``CUTS``: a window that starts o bytes before its anchor holds the bytes of one of
+   four stretches around it, so its equals meet under that stretch's hash, and no task gets all contexts of a common gram.
 3. Intervals meet per document, are united, and cut the text.
 
 Cases: a null text is the empty text; texts under 100 bytes lose nothing; matches never cross documents; rows that repeat a
@@ -30,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +43,15 @@ LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM
 SPAN = LEFT + LENGTH
 PAIRS = 48
+#: Anchors that are sorted at once, and bytes of a text in which anchors are looked for at once.
+SLICE, REACH = 100_000, 2 << 20
+#: A gram with more anchors than HOT is dealt by these (bytes on the left, bytes on the right) of its contexts.
+HOT = 50_000
+CUTS = tuple((o, LENGTH - min(LEFT, o + LEFT // 4)) for o in range(0, LEFT, LEFT // 4))
 NO_ID = -(2**63)
 _MULTIPLY = mix64(np.arange(1, SPAN // 8 + 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_ANCHOR = [("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("right", "u1")]
+_ANCHOR = [("key", "<u8"), ("doc", "<i8"), ("pos", "<u4")]
+_PLACE = [("doc", "<i8"), ("at", "<u8")]
 _CONTEXT = [("key", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("right", "u1"), ("bytes", f"V{SPAN}")]
 _INTERVAL = [("doc", "<i8"), ("start", "<u4"), ("end", "<u4")]
 
@@ -77,11 +86,12 @@ def _gathered(blobs: Iterable[bytes], kind: list) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
-def gram_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes at every start."""
-    n = len(text) - GRAM + 1
+def gram_hashes(text: bytes, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the GRAM bytes at every start, or at the given ones."""
     words = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
-    h = words[:n] * _MULTIPLY[0] + words[8 : 8 + n] * _MULTIPLY[1] + words[16 : 16 + n] * _MULTIPLY[2]
+    n = len(text) - GRAM + 1
+    parts = [words[i : i + n] if at is None else words[at + i] for i in (0, 8, 16)]
+    h = parts[0] * _MULTIPLY[0] + parts[1] * _MULTIPLY[1] + parts[2] * _MULTIPLY[2]
     h ^= h >> np.uint64(32)
     h *= _MULTIPLY[3]
     h ^= h >> np.uint64(29)
@@ -110,16 +120,32 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-def contexts(text: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchors, SPAN) bytes around each anchor, zero beyond the text, and how many of the right ones are text."""
-    padded = np.frombuffer(bytes(LEFT) + text + bytes(LENGTH), np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(padded, SPAN)[at], np.minimum(LENGTH, len(text) - at).astype(np.uint8)
+def anchor_slices(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``anchors`` of a text of any length, SLICE at a time; a stretch of REACH bytes is read with all that can decide on it."""
+    around = LENGTH
+    for start in range(0, max(1, len(text) - GRAM + 1), REACH):
+        low = max(0, start - around)
+        at, hashes = anchors(text[low : start + REACH + around]) if len(text) > REACH else anchors(text)
+        own = np.flatnonzero((at + low >= start) & (at + low < start + REACH))
+        for i in range(0, len(own), SLICE):
+            yield at[own[i : i + SLICE]] + low, hashes[own[i : i + SLICE]]
 
 
-def _context_hash(rows: np.ndarray, at: np.ndarray, right: np.ndarray) -> np.ndarray:
-    words = np.ascontiguousarray(rows).view("<u8")
-    h = np.minimum(at, LEFT).astype(np.uint64) * _MULTIPLY[-1] + right.astype(np.uint64) * _MULTIPLY[-2]
-    for i in range(words.shape[1]):
+def contexts(text: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors, SPAN) bytes around each anchor (in ascending order), zero beyond the text, and how many of the right ones are
+    text."""
+    low = max(0, int(at[0]) - LEFT)
+    padded = np.frombuffer(bytes(max(0, LEFT - int(at[0]))) + text[low : int(at[-1]) + LENGTH] + bytes(LENGTH), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, SPAN)[at - at[0]], np.minimum(LENGTH, len(text) - at).astype(np.uint8)
+
+
+def cut_hashes(rows: np.ndarray, cut: tuple[int, int]) -> np.ndarray:
+    """A hash of the bytes from ``cut[0]`` before to ``cut[1]`` after the anchors of contexts."""
+    part = np.zeros((len(rows), SPAN), np.uint8)
+    part[:, : sum(cut)] = rows[:, LEFT - cut[0] : LEFT + cut[1]]
+    words = part.view("<u8")
+    h = np.full(len(rows), cut[0], np.uint64)
+    for i in range(-(-sum(cut) // 8)):
         h = mix64(h ^ (words[:, i] * _MULTIPLY[i]))
     return h
 
@@ -298,6 +324,27 @@ def matches(doc: np.ndarray, pos: np.ndarray, right: np.ndarray, rows: np.ndarra
     return tuple(np.concatenate([none, *(x[i] for x in out)]) for i in range(3))
 
 
+def repeated(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, right: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether each anchor's whole context equals that of an earlier one of the same gram: found where the sorted suffixes stand
+    next to each other."""
+    out = np.zeros(len(key), bool)
+    by = np.argsort(key, kind="stable")
+    same = key[by][1:] == key[by][:-1]
+    some = by[np.r_[False, same] | np.r_[same, False]]  # a gram that stands alone has no equal
+    if not len(some):
+        return out
+    order, common = deep_shallow(rows[some, LEFT:])
+    at = some[order]
+    run = np.cumsum(common < LENGTH)
+    left = np.zeros((len(at), -(-LEFT // 8) * 8), np.uint8)
+    left[:, :LEFT] = rows[at, :LEFT]
+    words = left.view("<u8")
+    groups = (run, *(words[:, i] for i in range(words.shape[1])), np.minimum(pos[at], LEFT), right[at])
+    place, after = _first_of(groups, doc[at], pos[at])
+    out[at[place[after]]] = True
+    return out
+
+
 def united(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Sorted, touching intervals joined."""
     order = np.argsort(start, kind="stable")
@@ -316,64 +363,83 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     buckets = parts * 4
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
 
+    def settled(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, doc, pos, right, rows = (np.concatenate(x) for x in zip(*held))
+        gone = repeated(key, doc, pos, right, rows)
+        sent = np.flatnonzero(~gone)
+        yield _dealt(0, key[sent], [x[sent] for x in (key, doc, pos)], buckets)
+        start, end = _covered(pos[gone], right[gone])
+        yield _dealt(1, doc[gone].view(np.uint64), [doc[gone], start, end], buckets)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 8 << 20):
             held: list[list[np.ndarray]] = []
+            n = 0
             for doc, text in zip(batch.column(0).to_pylist(), byte_column(batch, "text")):
-                at, keys = anchors(text)
-                if len(at):
+                for at, keys in anchor_slices(text):
                     around, right = contexts(text, at)
-                    held.append([keys, _context_hash(around, at, right), np.full(len(at), doc, np.int64), at.astype(np.uint32), right])
-            if not held:
-                continue
-            key, ctx, doc, pos, right = (np.concatenate(x) for x in zip(*held))
-            order, after = _first_of((key, ctx), doc, pos)
-            settled, sent = order[after], order[~after]
-            yield _dealt(0, key[sent], [x[sent] for x in (key, ctx, doc, pos, right)], buckets)
-            start, end = _covered(pos[settled], right[settled])
-            yield _dealt(1, doc[settled].view(np.uint64), [doc[settled], start, end], buckets)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, passed = [], []
+                    held.append([keys, np.full(len(at), doc, np.int64), at.astype(np.uint32), right, around])
+                    n += len(at)
+                    if n >= SLICE:
+                        yield from settled(held)
+                        held, n = [], 0
+            if held:
+                yield from settled(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
         for batch in batches:
-            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                (passed if kind else found).append(blob)
-        key, ctx, doc, pos, right = _gathered(found, _ANCHOR)
-        order, after = _first_of((key, ctx), doc, pos)
-        settled, lead = order[after], order[~after]
-        start, end = _covered(pos[settled], right[settled])
-        old = _gathered(passed, _INTERVAL)
-        doc_, start, end = np.r_[doc[settled], old[0]], np.r_[start, old[1]], np.r_[end, old[2]]
-        yield _dealt(1, doc_.view(np.uint64), [doc_, start, end], buckets)
-        k, c = key[lead], ctx[lead]
+            local = batch.filter(pc.equal(batch.column(0), 1))
+            if local.num_rows:
+                yield local  # what a task has settled goes on as it is
+            found += batch.filter(pc.equal(batch.column(0), 0)).column(2).to_pylist()
+        key, doc, pos = _gathered(found, _ANCHOR)
+        order = np.argsort(key, kind="stable")
+        k = key[order]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, int)
-        several = np.maximum.reduceat(np.r_[False, (k[1:] == k[:-1]) & (c[1:] != c[:-1])], starts) if len(k) else np.empty(0, bool)
-        need = lead[np.repeat(several, np.diff(np.r_[starts, len(k)]).astype(int))] if len(k) else lead
-        yield _dealt(2, doc[need].view(np.uint64), [doc[need], pos[need]], buckets)
+        sizes = np.diff(np.r_[starts, len(k)]).astype(int)
+        size = np.repeat(sizes, sizes)
+        need = order[size > 1]
+        hot = (size[size > 1] > HOT).astype(np.uint64)
+        yield _dealt(2, doc[need].view(np.uint64), [doc[need], pos[need].astype(np.uint64) << np.uint64(1) | hot], buckets)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, pos = _gathered((x for b in batches for x in b.column(2).to_pylist()), _INTERVAL[:2])
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
+        doc, at = _gathered((x for b in batches for x in b.column(2).to_pylist()), _PLACE)
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, int)
         for a in range(0, len(starts), 5000):
             s = starts[a : a + 5000]
             e = np.r_[starts[a + 1 : a + 5001], len(doc)][: len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array([pos[x:y].tobytes() for x, y in zip(s, e)], pa.binary())], names=["d", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array([at[x:y].tobytes() for x, y in zip(s, e)], pa.binary())], names=["d", "at"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            key, hot, doc, pos, right, rows = (np.concatenate(x) for x in zip(*held))
+            cold, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
+            keys = np.concatenate([key[cold], *(mix64(key[warm] ^ cut_hashes(rows[warm], cut)) for cut in CUTS)])
+            at = np.concatenate([cold, *[warm] * len(CUTS)])
+            return _dealt(0, keys, [keys, doc[at], pos[at], right[at], np.ascontiguousarray(rows[at]).view(f"V{SPAN}").ravel()], buckets)
+
         for batch in pieces(batches, "text", 4 << 20):
-            held = []
-            for doc, text, at in zip(batch.column(0).to_pylist(), byte_column(batch, "text"), batch.column(2).to_pylist()):
-                at = np.frombuffer(at, "<u4").astype(np.int64)
-                at = np.unique(at[at + GRAM <= len(text)])
-                if len(text) < LENGTH or not len(at):
+            held, n = [], 0
+            for doc, text, raw in zip(batch.column(0).to_pylist(), byte_column(batch, "text"), batch.column(2).to_pylist()):
+                places_ = np.frombuffer(raw, "<u8")
+                at, hot = (places_ >> np.uint64(1)).astype(np.int64), (places_ & np.uint64(1)).astype(bool)
+                inside = (at + GRAM <= len(text)) & np.r_[True, places_[1:] != places_[:-1]]  # a place of another row of this doc_id may lie beyond
+                at, hot = at[inside], hot[inside]
+                if len(text) < LENGTH:
                     continue
-                around, right = contexts(text, at)
-                held.append([gram_hashes(text)[at], np.full(len(at), doc, np.int64), at.astype(np.uint32), right, np.ascontiguousarray(around).view(f"V{SPAN}").ravel()])
+                for i in range(0, len(at), SLICE):
+                    part = at[i : i + SLICE]
+                    around, right = contexts(text, part)
+                    held.append([gram_hashes(text, part), hot[i : i + SLICE], np.full(len(part), doc, np.int64), part.astype(np.uint32), right, around])
+                    n += len(part)
+                    if n >= SLICE:
+                        yield sent()
+                        held, n = [], 0
             if held:
-                fields = [np.concatenate(x) for x in zip(*held)]
-                yield _dealt(0, fields[0], fields, buckets)
+                yield sent()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, pos, right, raw = _gathered((x for b in batches for x in b.column(2).to_pylist()), _CONTEXT)
@@ -398,11 +464,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             spans = [united(start[x:y], end[x:y]) for x, y in zip(s, e)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array([[x for x, _ in p] for p in spans], pa.list_(pa.int32())), pa.array([[y for _, y in p] for p in spans], pa.list_(pa.int32()))], names=["doc_id", "starts", "ends"])
 
-    settled = written(rows.mapInArrow(sign, _PACKED).repartition(parts, "bucket").mapInArrow(settle, _PACKED), "settled")
-    wanted = settled.where("kind = 2").repartition(parts, "bucket").mapInArrow(places, "d long, at binary")
+    first = written(rows.mapInArrow(sign, _PACKED).repartition(parts, "bucket").mapInArrow(meet, _PACKED), "settled")
+    wanted = first.where("kind = 2").repartition(parts, "bucket").mapInArrow(places, "d long, at binary")
     held = rows.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "text", "at").mapInArrow(fetch, _PACKED)
     resolved = written(held.repartition(parts, "bucket").mapInArrow(resolve, _PACKED), "resolved")
-    return settled.where("kind = 1").union(resolved).repartition(parts, "bucket").mapInArrow(unite, "doc_id long, starts array<int>, ends array<int>")
+    return first.where("kind = 1").union(resolved).repartition(parts, "bucket").mapInArrow(unite, "doc_id long, starts array<int>, ends array<int>")
 
 
 def deduplicated(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
