@@ -2,8 +2,8 @@
 
 Every line is labelled good or bad. Its evidence is ``FEATURES`` of the line itself and of the lines before and after it;
 a 2 x 2 table scores neighbouring labels. Forward-backward gives each line's probability to be good, and the mean of
-those, weighted by line length, is the document's raw quality. A logistic curve over it and over the worst long
-line's probability, fitted on the same training rows, gives the score.
+those, weighted by line length, is the document's raw quality. A logistic curve over it, fitted on the same training
+rows, gives the score. Lines are worked on in blocks, so a text of millions of lines takes some 100 bytes a line.
 
 Training rows are labelled documents only, at most ``TRAIN_DOCS``, the first in the order of a hash of doc_id, of at most
 ``TRAIN_LINES`` lines each. Lines inherit the label of their document.
@@ -16,7 +16,7 @@ of both kinds the prior stands in (every line 0.5); an empty documents table ret
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from operator import eq
 
 import numpy as np
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import byte_column, pieces, ship
 
-TRAIN_DOCS, TRAIN_LINES, THRESHOLD, LONG_LINE = 4000, 400, 0.3, 40
+TRAIN_DOCS, TRAIN_LINES, THRESHOLD = 4000, 400, 0.3
+#: Lines whose features are held at once, and how many make a text a long one.
+LINES, LONG_TEXT = 50_000, 1024
 #: Byte classes: 0 lower case, 1 upper case, 2 digits, 3 white space, 4 sentence marks, 5 bars, 6 exclamation marks,
 #: 7 symbols, 8 other ASCII, 9 first bytes and 10 following bytes of other characters.
 _CLASSES = 11
@@ -55,16 +57,15 @@ FEATURES = (
 _OWN = len(FEATURES)
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines of the texts: features (own, before, after), byte lengths, and how many lines each text has."""
-    lines = [line for text in texts for line in text.split(b"\n")]
-    per_text = np.array([text.count(b"\n") + 1 for text in texts], dtype=np.int64)
+def own_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the lines themselves, and their byte lengths."""
     n = len(lines)
     length = np.fromiter(map(len, lines), np.int64, n)
     counts = np.zeros((n, _CLASSES))
+    ends = np.cumsum(length)
     start = 0
     while start < n:  # pieces of a few MB, to keep the index small
-        end = min(n, start + max(1, int(np.searchsorted(np.cumsum(length[start:]), 2 << 20))))
+        end = min(n, max(start + 1, int(np.searchsorted(ends, ends[start] - length[start] + (2 << 20)))))
         raw = np.frombuffer(b"".join(lines[start:end]), np.uint8)
         owner = np.repeat(np.arange(end - start) * _CLASSES, length[start:end])
         counts[start:end] = np.bincount(owner + _KIND[raw], minlength=(end - start) * _CLASSES).reshape(-1, _CLASSES)
@@ -86,6 +87,13 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         np.log1p(words) / 4, np.minimum(3, length / many / 8), distinct / many, repeats / many, np.where(words > 3, top / many, 0),
         length == 0, counts[:, 5] > 0, counts[:, 6] > 0, counts[:, 7] > 1,
     ])
+    return own, length
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines of the texts: features (own, before, after), byte lengths, and how many lines each text has."""
+    per_text = np.array([text.count(b"\n") + 1 for text in texts], dtype=np.int64)
+    own, length = own_features([line for text in texts for line in text.split(b"\n")])
     ends = np.cumsum(per_text)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
@@ -94,6 +102,36 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.hstack([own, before[:, 1:], after[:, 1:]]), length, per_text
 
 
+def _lines(text: bytes) -> Iterator[bytes]:
+    """A text's lines, one at a time."""
+    at = 0
+    while (end := text.find(b"\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def line_scores(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines of the texts: the score for good, byte lengths, and how many lines each text has. Features are made for
+    ``LINES`` lines at a time, and what a line's neighbours add is shifted into place, so memory is a few numbers a line."""
+    per_text = np.array([text.count(b"\n") + 1 for text in texts], dtype=np.int64)
+    parts = [weights[:_OWN], np.r_[0, weights[_OWN : 2 * _OWN - 1]], np.r_[0, weights[2 * _OWN - 1 :]]]
+    total = int(per_text.sum())
+    mine, before, after, length = np.empty(total), np.empty(total), np.empty(total), np.empty(total, np.int64)
+    every, at = chain.from_iterable(map(_lines, texts)), 0
+    while lines := list(islice(every, LINES)):
+        own, length[at : at + len(lines)] = own_features(lines)
+        for out, part in zip((mine, before, after), parts):
+            out[at : at + len(lines)] = own @ part
+        at += len(lines)
+    ends = np.cumsum(per_text)
+    inner = np.ones(total, bool)
+    inner[ends - per_text] = False
+    mine[1:] += np.where(inner[1:], before[:-1], 0)
+    mine[:-1] += np.where(inner[1:], after[1:], 0)
+    return mine, length, per_text
+
+
 def _padded(per_text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Texts of like line counts together: their line indexes, -1 where a text has ended."""
     starts = np.cumsum(per_text) - per_text
@@ -148,6 +186,68 @@ def forward_backward(node: np.ndarray, trans: np.ndarray, per_text: np.ndarray)
     return good, pairs, total
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices, scaled to a sum of one."""
+    out = a @ b
+    return out / out.sum((-2, -1), keepdims=True)
+
+
+def long_marginals(node: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(good) of every line of one long text: the lines are cut into about as many blocks as a block has lines; blocks' products
+    of transfer matrices give each block's borders, and all blocks then go forward and backward side by side."""
+    n = len(node)
+    steps = int(np.ceil(np.sqrt(n)))
+    blocks = -(-n // steps)
+    emit = np.ones((blocks * steps, 2))
+    emit[:n] = np.stack([np.exp(-np.maximum(node, 0)), np.exp(np.minimum(node, 0))], -1)
+    kernel = np.exp(trans)
+    # the matrix of a line leads from the line before it; the first line's has nothing before it, and padding leads nowhere
+    move = kernel[None] * emit[:, None, :]
+    move[0] = np.array([[emit[0, 0], 0], [0, emit[0, 1]]])
+    move[n:] = np.eye(2)
+    move = move.reshape(blocks, steps, 2, 2)
+    whole = np.broadcast_to(np.eye(2), (blocks, 2, 2))
+    for t in range(steps):
+        whole = _times(whole, move[:, t])
+    first, last = np.empty((blocks, 2)), np.empty((blocks, 2))
+    now = np.full(2, 0.5)
+    for k in range(blocks):
+        first[k] = now
+        now = now @ whole[k]
+        now = now / now.sum()
+    now = np.full(2, 0.5)
+    for k in range(blocks - 1, -1, -1):
+        last[k] = now
+        now = whole[k] @ now
+        now = now / now.sum()
+    alpha = np.empty((blocks, steps, 2))
+    now = first
+    for t in range(steps):
+        now = np.einsum("bi,bij->bj", now, move[:, t])
+        now = now / now.sum(1, keepdims=True)
+        alpha[:, t] = now
+    out, beta = np.empty((blocks, steps)), last
+    for t in range(steps - 1, -1, -1):
+        both = alpha[:, t] * beta
+        out[:, t] = both[:, 1] / both.sum(1)
+        beta = np.einsum("bij,bj->bi", move[:, t], beta)
+        beta = beta / beta.sum(1, keepdims=True)
+    return out.ravel()[:n]
+
+
+def marginals(node: np.ndarray, trans: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """P(good) of every line; texts of many lines are worked on in blocks."""
+    out = np.empty(len(node))
+    long = per_text > LONG_TEXT
+    owner = np.repeat(long, per_text)
+    if not long.all():
+        out[~owner] = forward_backward(node[~owner], trans, per_text[~long])[0]
+    ends = np.cumsum(per_text)
+    for k in np.flatnonzero(long):
+        out[ends[k] - per_text[k] : ends[k]] = long_marginals(node[ends[k] - per_text[k] : ends[k]], trans)
+    return out
+
+
 def fit(x: np.ndarray, labels: np.ndarray, per_text: np.ndarray, rounds: int = 80, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and transitions that maximise the labels' conditional likelihood (Adam, full batch)."""
     weights, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
@@ -172,16 +272,13 @@ def fit(x: np.ndarray, labels: np.ndarray, per_text: np.ndarray, rounds: int = 8
     return weights, trans
 
 
-def evidence(x: np.ndarray, length: np.ndarray, per_text: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the logit of the mean marginal, weighted by length (+1, so that empty lines count a little), the logit of
-    the lowest marginal of a line of LONG_LINE bytes (of any line if there is none), and one; and the marginals themselves."""
-    good, _, _ = forward_backward(x @ weights, trans, per_text)
+def evidence(node: np.ndarray, length: np.ndarray, per_text: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Per text the logit of the mean marginal, weighted by length (+1, so that empty lines count a little), and one."""
+    good = marginals(node, trans, per_text)
     starts = np.cumsum(per_text) - per_text
     weight = length + 1.0
     mean = np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)
-    counted = (length >= LONG_LINE) | np.repeat(np.maximum.reduceat(length, starts) < LONG_LINE, per_text)
-    worst = np.minimum.reduceat(np.where(counted, good, 1.0), starts)
-    return np.column_stack([_logit(mean), _logit(worst), np.ones(len(mean))]), good
+    return np.column_stack([_logit(mean), np.ones(len(mean))])
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -193,23 +290,23 @@ class Model:
     """Weights, transitions and the logistic curve over a document's evidence."""
 
     def __init__(self) -> None:
-        self.weights, self.trans, self.curve = np.zeros(3 * _OWN - 2), np.zeros((2, 2)), np.array([1.0, 0.0, 0.0])
+        self.weights, self.trans, self.curve = np.zeros(3 * _OWN - 2), np.zeros((2, 2)), np.array([1.0, 0.0])
 
     def train(self, x: np.ndarray, length: np.ndarray, per_text: np.ndarray, quality: np.ndarray) -> Model:
         if len(np.unique(quality)) < 2:
             return self
         labels = np.repeat(quality.astype(float), per_text)
         self.weights, self.trans = fit(x, labels, per_text)
-        z, _ = evidence(x, length, per_text, self.weights, self.trans)
+        z = evidence(x @ self.weights, length, per_text, self.trans)
         w = self.curve
         for _ in range(50):  # Newton steps with a small ridge
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(3), z.T @ (quality - p) - 1e-2 * w)
+            w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (quality - p) - 1e-2 * w)
         self.curve = w
         return self
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        z, _ = evidence(*line_features(texts), self.weights, self.trans)
+        z = evidence(*line_scores(texts, self.weights), self.trans)
         return 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
 
 
@@ -260,7 +357,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the documents that the model rejects; row by row, so nothing is shuffled."""
+    """``docs`` without the rows that the model rejects; row by row, so nothing is shuffled. Repeated rows and ids are each judged
+    by their own text; a null text is judged as the empty one; columns stay as they are, whatever their names; an empty table
+    returns no rows."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
