@@ -6,8 +6,9 @@ last place in any pattern to the pattern's end. The search looks at the block th
 no pattern holds skips m - B + 1 words at once; a block that ends a pattern selects the bucket of its suffix, and direct
 comparison of all the words confirms.
 
-The patterns are broadcast in parts of at most ``PART_BYTES`` of item text, whatever the size of the benchmark; the
-documents are read once for each part and the parts' hits are merged per document.
+The patterns are broadcast in parts of at most ``PART_WINDOWS`` windows, whatever the size of the benchmark (a longer item
+is cut into overlapping pieces); a worker builds a part's tables once. The documents are read once for each part and the
+parts' hits are merged per row.
 
 Cases: null and wordless texts have no words and no hits; an item without words matches nothing; items with equal windows
 all count; an item without item_id is searched and hit, but isn't counted or listed; repeated rows of documents return a row
@@ -18,6 +19,7 @@ nothing; an empty documents table returns no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import byte_column, pieces, ship
+from lodestrata.llm.common import byte_column, held, pieces, ship
 
 WINDOW, BLOCK = 10, 3
-PART_BYTES = 8 << 20
+#: A window's tables take about 1 KB of a worker.
+PART_WINDOWS = 200_000
 #: a-z, 0-9 and every byte of a non-ASCII character make words; A-Z count as a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -91,27 +94,37 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[int | None, bytes]]]:
-    """Items in parts of bounded bytes. Items come to the driver one partition at a time."""
-    parts: list[list[tuple[int | None, bytes]]] = [[]]
-    size = 0
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Items, or pieces of long ones, in parts of bounded size, one part at a time; at least one."""
+    part: list[tuple[int | None, bytes]] = []
+    size, some = 0, False
     for row in benchmark.select("item_id", F.encode("text", "UTF-8").alias("text")).where("text is not null").toLocalIterator():
-        raw = bytes(row.text)
-        if size and size + len(raw) > PART_BYTES:
-            parts.append([])
-            size = 0
-        parts[-1].append((row.item_id, raw))
-        size += len(raw)
-    return parts
+        words = words_of(bytes(row.text))
+        for start in range(0, max(1, len(words) - WINDOW + 1), PART_WINDOWS):
+            piece = words[start : start + PART_WINDOWS + WINDOW - 1]
+            if part and size + len(piece) > PART_WINDOWS:
+                yield part
+                part, size, some = [], 0, True
+            part.append((row.item_id, b" ".join(piece)))
+            size += len(piece)
+    if part or not some:
+        yield part
+
+
+def _shared(docs: DataFrame, part: list[tuple[int | None, bytes]]):
+    """The part's patterns, for workers: built once in each, and kept while its tasks need no other operator's tables."""
+    ship(docs.sparkSession)
+    name = f"patterns {uuid.uuid4().hex}"
+    items = docs.sparkSession.sparkContext.broadcast(part)
+    return name, lambda: held(name, lambda: Patterns(items.value))
 
 
 def _searched(docs: DataFrame, part: list[tuple[int | None, bytes]]) -> DataFrame:
-    ship(docs.sparkSession)
-    items = docs.sparkSession.sparkContext.broadcast(part)
+    name, tables = _shared(docs, part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(items.value)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", keep=name):
+            patterns = tables()
             counts, flat, found = [], [], []
             for raw in byte_column(batch, "text"):
                 words = words_of(raw)
@@ -156,6 +169,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window."""
-    hit = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark window. Row by row, so nothing is shuffled: rows of one doc_id, or
+    without any, are each judged by their own text; null and wordless texts stay; columns stay as they are, whatever their
+    names; an empty benchmark drops nothing and an empty table returns no rows."""
+    for part in _parts(benchmark):
+        docs = _without(docs, part)
+    return docs
+
+
+def _without(docs: DataFrame, part: list[tuple[int | None, bytes]]) -> DataFrame:
+    name, tables = _shared(docs, part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", keep=name):
+            patterns = tables()
+            kept = batch.filter(pa.array([not patterns.search(words_of(raw))[0] for raw in byte_column(batch, "text")], pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
