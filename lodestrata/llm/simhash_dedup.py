@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import byte_column, components, packed, partitions, pieces, ship, unioned, unpacked, written
+from lodestrata.llm.common import byte_column, components, packed, partitions, pieces, ship, unioned, unpacked, unused, written
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and length of each segment.
@@ -145,7 +145,7 @@ def rooted(prints: DataFrame) -> DataFrame:
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     shifted = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1).cast("long")) for a, n in SEGMENTS]
     counted = distinct.select(F.posexplode(F.array(*shifted)).alias("s", "v")).groupBy("s", "v").count()
-    # at most 3 N / CELL rows: every one stands for over CELL fingerprints of its segment
+    # at most 6 N / CELL rows, as each stands for over CELL / 2 fingerprints of its segment: 1 MB for some 10 million of them
     hot = {(r.s, r.v): r["count"] for r in counted.where(F.col("count") > CELL // 2).toLocalIterator()}
     known = spark.sparkContext.broadcast(hot)
     total = distinct.count()
@@ -187,13 +187,19 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the first in doc_id order, of several rows of that doc_id the one
-    of the smallest hash over all columns. Rows of one doc_id whose texts are of different groups stay; rows without doc_id
-    go."""
+    """``docs`` with one row of each near-duplicate group: the first in doc_id order (rows without doc_id come last), of several
+    rows of that doc_id the one of the smallest hash over all columns. A row goes only if another of its own group stays:
+    texts of one doc_id, or without any, that are of different groups all stay. Null and wordless texts are one group. An
+    empty table returns no rows; columns stay as they are, whatever their names."""
     ship(docs.sparkSession)
-    marked = docs.where("doc_id is not null").withColumn("__row", F.xxhash64(*docs.columns))
-    prints = written(marked.select("doc_id", "text", "__row").mapInArrow(_fingerprints, "doc_id long, __row long, fp long"), "fingerprints")
+    row, id_, kept, first = unused(docs, "row", "id", "kept", "first")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    marked = docs.withColumn(row, F.xxhash64(*hashed)).withColumn(id_, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id")))
+    rows = marked.select("doc_id", "text", F.col(row).alias("row"))
+    prints = written(rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long"), "fingerprints")
     found = rooted(prints.select("doc_id", "fp")).select(F.col("fp").alias("g"), "root")
-    first = prints.join(found, F.col("fp") == F.col("g")).groupBy("root").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
-    kept = first.select(F.col("first.doc_id").alias("__kept"), F.col("first.__row").alias("__first"))
-    return marked.join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__row") == F.col("__first")), "left_semi").dropDuplicates(["doc_id", "__row"]).drop("__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stays = prints.join(found, F.col("fp") == F.col("g")).groupBy("root").agg(F.min(order).alias("first"))
+    stays = stays.select(F.struct("first.none", "first.doc_id").alias(kept), F.col("first.row").alias(first))
+    # equal rows of one doc_id share their hash: the last step leaves one of them
+    return marked.join(stays, (marked[id_] == stays[kept]) & (marked[row] == stays[first]), "left_semi").dropDuplicates([id_, row]).drop(id_, row)
