@@ -5,7 +5,7 @@ A sparse multinomial logistic regression over word 1- to 3-grams gives each para
 family or ``unknown``. It is trained here: positives are variants of the public notices below (words dropped, numbers
 changed, ordinary words around them); negatives are a bounded sample of the corpus's own paragraphs, at most
 ``NEGATIVES`` (those that resemble a notice are left out), and everyday sentences about licences. A temperature fitted on
-a held-out fifth calibrates the probabilities. A prediction is confirmed if a template of the family shares at least 0.8
+held-out notices calibrates the probabilities. A prediction is confirmed if a template of the family shares at least 0.8
 of its five-word shingles (numbers masked; its whole word sequence, if shorter) with the paragraph.
 
 A paragraph without any n-gram of the vocabulary has the same probabilities as an empty one, which is unknown; so only
@@ -98,6 +98,31 @@ TEMPLATES = {
         "This work is in the public domain.",
     ),
 }
+#: Names of each family's licences, and SPDX identifiers; with FORMS they make further notices.
+NAMES = {
+    "AGPL": ("GNU Affero General Public License", "GNU AGPL", "AGPL-3.0"),
+    "Apache": ("Apache License", "Apache License 2.0", "Apache Software License"),
+    "BSD": ("BSD License", "3-Clause BSD License", "New BSD License"),
+    "CC": ("Creative Commons Attribution License", "CC BY-ND 4.0", "Creative Commons licence"),
+    "GPL": ("GNU General Public License", "GNU GPL", "GPL v3"),
+    "ISC": ("ISC License", "ISC licence"),
+    "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "LGPL v3"),
+    "MIT": ("MIT License", "MIT licence", "Expat License"),
+    "MPL": ("Mozilla Public License", "MPL 2.0", "Mozilla Public License 2.0"),
+    "Proprietary": ("proprietary license agreement", "commercial license agreement"),
+    "Public-Domain": ("Unlicense", "CC0 public domain dedication"),
+}
+IDENTIFIERS = {
+    "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "CC": ("CC-BY-4.0", "CC-BY-SA-4.0"),
+    "GPL": ("GPL-2.0-only", "GPL-3.0-only"),
+    "ISC": ("ISC",),
+    "LGPL": ("LGPL-2.1-only", "LGPL-3.0-or-later"),
+    "Proprietary": ("LicenseRef-Proprietary",),
+    "Public-Domain": ("Unlicense", "CC0-1.0"),
+}
+FORMS = ("Licensed under the {}.", "Released under the terms of the {}.", "This project is distributed under the {}.", "This file is covered by the {}, see the LICENSE file for details.")
+NOTICES = {f: (*texts, *(form.format(name) for name in NAMES[f] for form in FORMS), *(f"SPDX-License-Identifier: {x}" for x in IDENTIFIERS.get(f, ()))) for f, texts in TEMPLATES.items()}
 #: Sentences that mention licences without granting one.
 EVERYDAY = (
     "You need a driving license to rent a car in this city.",
@@ -111,7 +136,12 @@ EVERYDAY = (
 )
 UNKNOWN = "unknown"
 CLASSES = (*sorted(TEMPLATES), UNKNOWN)
-NEGATIVES, VARIANTS, MIN_P, CONFIRM, SHINGLE = 2000, 24, 0.5, 0.8, 5
+MIN_P, CONFIRM, SHINGLE = 0.5, 0.8, 5
+#: What the fit takes: at most NEGATIVES of the corpus's lines, from the first SAMPLE_LINES lines of half as many documents, the
+#: first in the order of a hash among those of under SAMPLE_BYTES; VARIANTS of each notice. Every HELD-th notice of a family, and
+#: every HELD-th variant of the others, are held out of the first fit, which gives the temperature and the accuracies; the
+#: second fit has all.
+NEGATIVES, SAMPLE_LINES, SAMPLE_BYTES, VARIANTS, HELD = 2000, 3, 20_000, 12, 5
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -132,10 +162,10 @@ def _shingled(words: list[bytes]) -> frozenset[tuple[bytes, ...]]:
 
 
 #: Of each template: family, words and shingles, and the distinct words that aren't numbers.
-_WHOLE = [(f, w := words_of(t.encode()), _shingled(w), frozenset(x for x in w if not x.isdigit())) for f, texts in sorted(TEMPLATES.items()) for t in texts]
+_WHOLE = [(f, w := words_of(t.encode()), _shingled(w), frozenset(x for x in w if not x.isdigit())) for f, texts in sorted(NOTICES.items()) for t in texts]
 #: The fewest of n shingles that confirm.
 _LEAST = {n: min(m for m in range(1, n + 1) if m / n >= CONFIRM) for n in {len(x[2]) for x in _WHOLE}}
-_SHAPES = {family: [(len(words_of(t.encode())), _shingled(words_of(t.encode()))) for t in texts] for family, texts in TEMPLATES.items()}
+_SHAPES = {family: [(len(words_of(t.encode())), _shingled(words_of(t.encode()))) for t in texts] for family, texts in NOTICES.items()}
 
 
 def containment(family: str, words: list[bytes]) -> float:
@@ -161,16 +191,32 @@ def _share(template: tuple, words: list[bytes]) -> float:
     return float(any(tuple(masked[i : i + len(own)]) == target for i in range(len(masked) - len(own) + 1)))
 
 
+def _needed(template: tuple) -> int:
+    """How many of its distinct words a text must have to hold CONFIRM of a template's shingles: every missing word lacks a
+    shingle, the last one up to SHINGLE words."""
+    _, _, shape, distinct = template
+    lost = len(shape) - _LEAST[len(shape)]
+    return len(distinct) - (lost + SHINGLE - 1 if lost else 0)
+
+
+_NEEDED = [(_needed(t), t) for t in _WHOLE]
+_KNOWN = frozenset().union(*(t[3] for t in _WHOLE))
+
+
 def wrapped(lines: list[list[bytes]]) -> list[tuple[int, int]]:
     """(first, last) of the shortest runs of two or more lines that hold CONFIRM of a template's shingles."""
-    known = set().union(*lines)
+    known = _KNOWN.intersection(*[set().union(*lines)])
     out = set()
-    for template in _WHOLE:
-        _, own, shape, distinct = template
-        # every missing word lacks a shingle, the last one up to SHINGLE words
-        lost = len(shape) - _LEAST[len(shape)]
-        missing = lost + SHINGLE - 1 if lost else 0
-        if len(distinct - known) > missing:
+    masked = [b"0" if w.isdigit() else w for line in lines for w in line]
+    held: dict[int, set[tuple[bytes, ...]]] = {}  # the block's strings of n words, for templates of that many and for shingles
+    for needed, template in _NEEDED:
+        if needed > len(known) or len(known & template[3]) < needed:
+            continue
+        _, own, shape, _ = template
+        n = min(len(own), SHINGLE)
+        if n not in held:
+            held[n] = set(zip(*(masked[i:] for i in range(n))))
+        if len(held[n] & shape) < _LEAST[len(shape)]:
             continue
         start = 0
         while start < len(lines):
@@ -198,9 +244,10 @@ class Model:
         rng = random.Random(seed)
         plain = [w for n in negatives if (w := words_of(n)) and max(containment(f, w) for f in TEMPLATES) < 0.5]
         filler = [w for n in plain[:400] for w in n[:40]] or [b"text"]
-        rows: list[tuple[list[bytes], int]] = [(w, len(CLASSES) - 1) for w in plain]
-        for family, texts in sorted(TEMPLATES.items()):
-            for text in texts:
+        other = len(CLASSES) - 1
+        rows: list[tuple[list[bytes], int, int]] = [(w, other, int(i % HELD == 0)) for i, w in enumerate(plain)]
+        for family, texts in sorted(NOTICES.items()):
+            for at, text in enumerate(texts):
                 words = words_of(text.encode())
                 for variant in range(VARIANTS):
                     w = [str(rng.randint(1, 4)).encode() if x.isdigit() and rng.random() < 0.3 else x for x in words]
@@ -210,24 +257,30 @@ class Model:
                         w = rng.choices(filler, k=rng.randint(1, 30)) + w
                     if variant % 3 == 2:
                         w = w + rng.choices(filler, k=rng.randint(1, 30))
-                    rows.append((w, CLASSES.index(family)))
-        rows += [(words_of(t.encode()), len(CLASSES) - 1) for t in EVERYDAY for _ in range(8)]
+                    rows.append((w, CLASSES.index(family), 2 if at % HELD == HELD - 1 else int(variant % HELD == HELD - 1)))
+        rows += [(words_of(t.encode()), other, 0) for t in EVERYDAY for _ in range(8)]
         # everyday sentences with filler in their midst teach that single licence words prove nothing
-        rows += [(rng.choices(filler, k=rng.randint(5, 40)), len(CLASSES) - 1) for _ in range(200)]
-        rng.shuffle(rows)
-        held = len(rows) // 5
-        counts = Counter(g for w, y in rows[held:] if y < len(CLASSES) - 1 for g in grams(w))
-        common = Counter(g for w, y in rows[held:] if y == len(CLASSES) - 1 for g in grams(w))
+        rows += [(rng.choices(filler, k=rng.randint(5, 40)), other, int(i % HELD == 0)) for i in range(200)]
+        held, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+        self._learn([r[0] for r in rows], y, held == 0)
+        logits = self._design([r[0] for r in rows if r[2]]) @ self.weights + self.bias
+        truth, held = y[held > 0], held[held > 0]
+        loss = lambda t: -np.log(np.maximum(self._softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
+        self.temperature = float(min(np.linspace(0.2, 3, 57), key=loss))
+        right = logits.argmax(1) == truth
+        #: Of notices not seen in the first fit; of held-out variants of seen ones and other lines.
+        self.unseen, self.accuracy = float(right[held == 2].mean()), float(right[held == 1].mean())
+        self._learn([r[0] for r in rows], y, np.ones(len(rows), bool))
+
+    def _learn(self, rows: list[list[bytes]], y: np.ndarray, used: np.ndarray) -> None:
+        """Vocabulary, triggers and weights from the used rows."""
+        kept = [(w, label) for w, label, u in zip(rows, y, used) if u]
+        counts = Counter(g for w, label in kept if label < len(CLASSES) - 1 for g in grams(w))
+        common = Counter(g for w, label in kept if label == len(CLASSES) - 1 for g in grams(w))
         self.vocabulary = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 6 and common[g] * 4 <= n))}
-        rarity = {g: common[g] for g in self.vocabulary}
-        self.triggers = {min(g.split(b" "), key=lambda w: (common[w], w)) for g in rarity}
-        x, y = self._design([w for w, _ in rows]), np.array([y for _, y in rows])
-        self.weights, self.bias, self.temperature = np.zeros((len(self.vocabulary), len(CLASSES)), np.float32), np.zeros(len(CLASSES)), 1.0
-        self._fit(x[held:], y[held:])
-        logits = x[:held] @ self.weights + self.bias
-        loss = lambda t: -np.log(np.maximum(self._softmax(logits / t)[np.arange(held), y[:held]], 1e-12)).mean()
-        self.temperature = float(min(np.linspace(0.2, 3, 57), key=loss)) if held else 1.0
-        self.accuracy = float((logits.argmax(1) == y[:held]).mean()) if held else 1.0
+        self.triggers = {min(g.split(b" "), key=lambda w: (common[w], w)) for g in self.vocabulary}
+        self.weights, self.bias, self.temperature = np.zeros((len(self.vocabulary), len(CLASSES)), np.float32), np.zeros(len(CLASSES)), getattr(self, "temperature", 1.0)
+        self._fit(self._design([w for w, _ in kept]), np.array([label for _, label in kept]))
 
     def _design(self, rows: list[list[bytes]]) -> np.ndarray:
         x = np.zeros((len(rows), len(self.vocabulary)), np.float32)
@@ -296,15 +349,18 @@ class Model:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = [line for text in byte_column(batch, "text") for line in text[:20_000].split(b"\n")[:3]]
+    for batch in pieces(batches, "text"):
+        lines = [line for text in byte_column(batch, "text") for line in text.split(b"\n", SAMPLE_LINES)[:SAMPLE_LINES]]
         yield pa.RecordBatch.from_arrays([pa.array([line.decode("utf-8", "replace") for line in lines if line.strip()], pa.string())], names=["line"])
 
 
 def train(docs: DataFrame) -> Model:
     """Fits on the notices and at most NEGATIVES paragraphs of as many documents, the first in the order of a hash."""
     ship(docs.sparkSession)
-    chosen = docs.where(F.col("text").isNotNull() & (F.octet_length("text") < 20_000)).orderBy(F.xxhash64("doc_id", F.octet_length("text")), "doc_id").select("text").limit(NEGATIVES // 2)
+    keyed = docs.where(F.col("text").isNotNull() & (F.octet_length("text") < SAMPLE_BYTES)).select(F.xxhash64("text").alias("key"), "text")
+    # hashes alone are sorted; the texts are read again for those that are chosen
+    keys = [r["key"] for r in keyed.select("key").orderBy("key").limit(NEGATIVES // 2).collect()]
+    chosen = keyed.where(F.col("key") <= (keys[-1] if keys else 0)).dropDuplicates(["key"]).select("text")
     lines = chosen.mapInArrow(_sample, "line string").orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()
     return Model([r["line"].encode() for r in lines])
 
