@@ -2,14 +2,15 @@
 
 Components become integers, floor(64 x), and scores are exact integers. Vectors are dealt by descending length (ties by
 vec_id) into blocks of about ``BLOCK``; queries, the vectors with vec_id divisible by ``EVERY``, into blocks of their own.
-The longest vectors' block comes first and gives every query a lower bound on its k-th score. Then each query block meets
-each other block: a vector whose length times the query's can't reach the bound is skipped, and so are all shorter ones;
-for the rest the first ``HEAD`` coordinates, in the basis of the corpus's singular vectors, give a partial sum, and
+The longest vectors' block comes first and gives every query a lower bound on its k-th score. Blocks stand by descending
+length, so those in which any vector times the longest query could reach the lowest bound of a query block are the first
+ones: only these are sent to meet it. There, a vector whose length times the query's can't reach the bound is skipped, and so
+are all shorter ones; for the rest the first ``HEAD`` coordinates, in the basis of the corpus's singular vectors, give a partial sum, and
 Cauchy-Schwarz on the remaining coordinates bounds what they can add. Pairs that may still reach the bound are scored in
 integers. Ties at the bound are kept, so equal scores are settled by vec_id.
 
 The rotation comes from the d x d Gram matrix, summed over all rows. A pair of blocks is a task's unit of work and of
-memory; what is replicated is each block, once for every block of the other side.
+memory; what is replicated is each block, once for every block of the other side that it may serve.
 
 Cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without vec_id; shorter
 vectors count as padded with zeros; rows of one vec_id count once (the smallest vector in byte order); fewer than k others
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,22 +31,29 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import ship, written
 
 K, EVERY, SCALE = 20, 20, 64
-BLOCK, QUERIES, HEAD = 4096, 1024, 16
+BLOCK, QUERIES, HEAD = 4096, 4096, 16
+#: Queries that are scored at once, and block borders at most that say where a query block's candidates end.
+AT_ONCE, BORDERS = 512, 4096
 
 
 def _integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     limit = float(2**62)
     for batch in batches:
-        ids, out = [], []
-        for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if vec_id is None or vector is None or None in vector:
-                continue
-            x = np.array(vector, dtype=float)
-            if np.isfinite(x).all():
-                ids.append(vec_id)
-                out.append(np.clip(np.floor(SCALE * x), -limit, limit).astype("<i8"))
-        norms = [float(np.sqrt((x.astype(float) ** 2).sum())) for x in out]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.float64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["vec_id", "norm", "vector"])
+        batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
+        if not batch.num_rows:
+            continue
+        sizes = pc.list_value_length(batch.column(1)).to_numpy()
+        flat = batch.column(1).flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(float)  # nulls become NaN
+        bad = np.zeros(len(sizes) + 1, np.int64)
+        ends = np.cumsum(sizes)
+        bad[1:] = np.cumsum(~np.isfinite(x))[ends - 1] * (ends > 0) if len(x) else 0
+        good = np.flatnonzero(bad[1:] == bad[:-1])
+        whole = np.clip(np.floor(SCALE * np.where(np.isfinite(x), x, 0)), -limit, limit)
+        out = whole.astype("<i8")
+        starts = ends - sizes
+        norms = [float(np.sqrt(np.dot(v, v))) for v in (whole[starts[i] : ends[i]] for i in good)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array(norms, pa.float64()), pa.array([out[starts[i] : ends[i]].tobytes() for i in good], pa.binary())], names=["vec_id", "norm", "vector"])
 
 
 def _matrix(blobs: list[bytes], width: int) -> np.ndarray:
@@ -81,8 +90,8 @@ def _blocked(width: int, most: int):
             chosen = order[start : start + most]
             x = _matrix([blobs[i] for i in chosen], width)
             yield pa.RecordBatch.from_arrays([
-                pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([np.array([ids[i] for i in chosen], "<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()),
-            ], names=["block", "part", "ids", "vectors"])
+                pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([norms[chosen[0]]], pa.float64()), pa.array([np.array([ids[i] for i in chosen], "<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()),
+            ], names=["block", "part", "top", "ids", "vectors"])
 
     return run
 
@@ -153,37 +162,47 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, *, id_column: str
     def blocks(df: DataFrame, most: int, n: int) -> DataFrame:
         # hot lengths are split by vec_id; what a partition holds beyond ``most`` becomes further parts
         dealt = df.repartitionByRange(max(1, -(-n // most)), F.desc("norm"), "vec_id")
-        return written(dealt.mapInArrow(_blocked(width, 2 * most), "block int, part int, ids binary, vectors binary"), "blocks")
+        return written(dealt.mapInArrow(_blocked(width, 2 * most), "block int, part int, top double, ids binary, vectors binary"), "blocks")
 
     candidates = blocks(rows, BLOCK, count)
     asked = blocks(rows.where(F.col("vec_id") % every == 0), QUERIES, queries).select(F.col("block").alias("q"), F.col("part").alias("qp"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
+    last_c = candidates.agg(F.max("block")).first()[0] or 0
+    step = last_c // BORDERS + 1
+    # the greatest length in every step-th block: whoever needs more than that has no candidates there or beyond
+    borders = [(r["block"], r["top"]) for r in candidates.where((F.col("part") == 0) & (F.col("block") % step == 0)).select("block", "top").orderBy("block").collect()]
+
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, qp, q_ids, q_vectors, ids, vectors in zip(*(x.to_pylist() for x in batch.columns)):
                 qi, x = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_vectors, "<i8").reshape(-1, width)
                 ci, c = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, width)
                 out = np.full(len(qi), -np.inf)
-                if len(ci) > k:
-                    s = np.where(qi[:, None] == ci[None, :], -np.inf, scores(x, c).astype(float))
+                for a in range(0, len(qi) if len(ci) > k else 0, AT_ONCE):
+                    s = np.where(qi[a : a + AT_ONCE, None] == ci[None, :], -np.inf, scores(x[a : a + AT_ONCE], c).astype(float))
                     low = np.partition(s, -k, axis=1)[:, -k]
-                    out = np.where(np.abs(low) < 2**53, low, np.nextafter(low, -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([qp], pa.int32()), pa.array([q_ids], pa.binary()), pa.array([q_vectors], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=["q", "qp", "q_ids", "q_vectors", "floors"])
+                    out[a : a + AT_ONCE] = np.where(np.abs(low) < 2**53, low, np.nextafter(low, -np.inf))
+                need = (out.min() / max(1e-300, float(np.linalg.norm(x.astype(float), axis=1).max()))) * (1 - 1e-6) if out.min() > 0 else -np.inf
+                end = next((block for block, top in borders if top < need), last_c + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([qp], pa.int32()), pa.array([q_ids], pa.binary()), pa.array([q_vectors], pa.binary()), pa.array([out.tobytes()], pa.binary()), pa.array([end], pa.int32())], names=["q", "qp", "q_ids", "q_vectors", "floors", "end"])
 
     longest = candidates.where("part = 0").orderBy("block").limit(1).select("ids", "vectors")  # one block
-    bounded = written(asked.join(F.broadcast(longest)).mapInArrow(floors, "q int, qp int, q_ids binary, q_vectors binary, floors binary"), "floors")
+    bounded = written(asked.join(F.broadcast(longest)).mapInArrow(floors, "q int, qp int, q_ids binary, q_vectors binary, floors binary, end int"), "floors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q_ids, q_vectors, low, ids, vectors in zip(*(x.to_pylist() for x in batch.columns)):
                 qi = np.frombuffer(q_ids, "<i8")
-                row, found, score = best(qi, np.frombuffer(q_vectors, "<i8").reshape(-1, width), np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, width), np.frombuffer(low), shared.value, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    last_q = asked.agg(F.max("q")).first()[0]
-    last_c = candidates.agg(F.max("block")).first()[0]
-    left = bounded.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(last_c or 0))))
-    right = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(last_q or 0)))).withColumnRenamed("block", "c")
+                x, floor = np.frombuffer(q_vectors, "<i8").reshape(-1, width), np.frombuffer(low)
+                ci, c = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, width)
+                for a in range(0, len(qi), AT_ONCE):
+                    at = slice(a, a + AT_ONCE)
+                    row, found, score = best(qi[at], x[at], ci, c, floor[at], shared.value, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[at][row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    left = bounded.where("end > 0").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("end") - 1))).drop("end")
+    useful = bounded.groupBy("q").agg(F.max("end").alias("end")).where("end > 0").select("q", F.explode(F.sequence(F.lit(0), F.col("end") - 1)).alias("c"))
+    right = candidates.withColumnRenamed("block", "c").join(useful, "c")
     met = left.join(right.hint("shuffle_hash"), ["q", "c"]).select("q_ids", "q_vectors", "floors", "ids", "vectors")
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
