@@ -157,6 +157,8 @@ class Codec:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
+        if ids and min(ids) < 0:
+            raise ValueError(f"unknown token id {min(ids)}")
         return b"".join(map(self.tokens.__getitem__, ids))
 
 

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(removed, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
     return out
@@ -61,7 +61,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(table: DataFrame) -> None:
     """Removes the folder of a table that ``written`` made and that nothing reads any more."""
-    _remove(table.sparkSession, table.folder)
+    removed(table.sparkSession, table.folder)
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

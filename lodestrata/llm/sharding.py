@@ -5,32 +5,38 @@ before the shuffle), and a slot-to-shard map assigns whole slots: heaviest first
 map has a row per slot, whatever the corpus, so it is broadcast; it is stored under a version, and rebalancing edits the
 last version: only the slots that must move change their shard.
 
-Law ``bytes``: shards' sizes are near equal (within about the lightest slots' bytes), so ``grown_shard`` is null.
+Law ``bytes``: shards' sizes are near equal (within about the lightest slots' bytes), so ``grown_shard`` is null. The law
+knows no groups: equal texts under different ids may fall into different shards.
 
-Cases: a null text has no bytes and CRC 0; null doc_ids share a slot; repeated rows are sharded row by row, in the order
+Cases: a null text has no bytes and CRC 0; rows without doc_id take their slot from their text, so that many of them
+don't share one; repeated rows are sharded row by row, in the order
 of doc_id, size and CRC; ties between slots go to the smaller slot and shard; an empty table returns no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import shared_dir
+from lodestrata.llm.common import removed, shared_dir, written
 
 SLOTS = 8192
 ROW_BYTES = 16
 
 
-def virtual_slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+def virtual_slot(key: Column, other: Column) -> Column:
+    """The slot of a key for ever; of ``other`` where there is no key."""
+    return F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(other)), F.lit(SLOTS)).cast("int")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """``(doc_id, size, text_crc32, vslot)`` of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(F.col("doc_id")).alias("vslot"))
+    return docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(F.col("doc_id"), F.col("text")).alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -76,9 +82,8 @@ def rebalanced(old: DataFrame, slots: DataFrame, shards: int) -> DataFrame:
 
 
 def stored(map_: DataFrame, folder: str) -> DataFrame:
-    """Writes a map's version under ``folder`` and reads it back; earlier versions stay."""
-    path = f"{folder}/version={map_.agg(F.max('version')).first()[0]}"
-    map_.drop("version").write.mode("overwrite").parquet(path)
+    """Writes a map under ``folder``, a folder per version, and reads its version back; earlier versions stay."""
+    map_.repartition(1).write.mode("append").partitionBy("version").parquet(folder)  # a row per virtual slot: bounded
     return read_map(map_.sparkSession, folder)
 
 
@@ -100,10 +105,10 @@ def sharded(rows: DataFrame, slots: DataFrame, map_: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 40, folder: str | None = None) -> DataFrame:
     """Sizes, sums, maps (stored under ``folder``) and shards all rows of ``docs``."""
-    import uuid
-
     spark = docs.sparkSession
     rows = sized(docs)
-    slots = slot_bytes(rows)
-    map_ = stored(first_map(slots, shards), folder or f"{shared_dir(spark)}/lodestrata-slot-map-{uuid.uuid4().hex}")
-    return sharded(rows, slots, map_)
+    slots = written(slot_bytes(rows), "slots")  # at most a row per virtual slot; the texts are read for it and for the rows
+    if folder is None:
+        folder = f"{shared_dir(spark)}/lodestrata-slot-map-{uuid.uuid4().hex}"
+        atexit.register(removed, spark, folder)
+    return sharded(rows, slots, stored(first_map(slots, shards), folder))
