@@ -57,17 +57,19 @@ def test_simhash(spark, sf_dir, odd, none):
     found = [(r.doc_id, r.component_id) for r in simhash_dedup.simhash_groups(odd).collect()]
     assert len(found) == len(TEXTS) and {(5, 1), (2, 2), (3, 2), (6, 2)} <= set(found)
     kept = simhash_dedup.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 7, 8, 9]
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4, 7, 8, 9]
+    assert simhash_dedup.keep_one(none).count() == 0
     assert simhash_dedup.simhash_groups(none).count() == 0
 
 
 def test_simhash_keeps_every_text_of_a_repeated_id(spark):
     one, two, three = (" ".join(f"{w}{i * i % 89}" for i in range(80)) for w in ("red", "blue", "green"))
-    rows = [(5, one, "b"), (5, two, "a"), (5, one, "a"), (5, one, "a"), (7, three, "a"), (9, two, "a")]
+    four = " ".join(f"gold{i * i % 97}" for i in range(80))
+    rows = [(5, one, "b"), (5, two, "a"), (5, one, "a"), (5, one, "a"), (7, three, "a"), (9, two, "a"), (None, four, "a"), (None, four, "a"), (None, one, "a"), (None, "  ", "b")]
     for seed in (0, 1):
-        docs = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(len(rows))], "doc_id long, text string, lang string")
-        kept = [tuple(r) for r in simhash_dedup.keep_one(docs).collect()]
-        assert sorted(x[:2] for x in kept) == sorted([(5, one), (5, two), (7, three)])
+        docs = spark.createDataFrame([rows[i] for i in np.random.default_rng(seed).permutation(len(rows))], "doc_id long, text string, kept string").withColumn("row", F.create_map(F.lit("a"), F.lit(1)))
+        kept = [(r.doc_id or 0, r.text, r.kept) for r in simhash_dedup.keep_one(docs).collect()]
+        assert sorted(x[:2] for x in kept) == sorted([(5, one), (5, two), (7, three), (0, four), (0, "  ")])
         assert seed == 0 or sorted(kept) == before
         before = sorted(kept)
 
@@ -130,8 +132,9 @@ def test_quality(spark, sf_dir, odd, none):
 def test_lines(spark, odd, none):
     base = "the quick brown fox jumps over the lazy dog while the small cat sleeps on the old wall near the river"
     rows = [(1, f"{base}\nkept\n\nshort"), (2, f"unique to two\n{base[:-1]}s\nshort"), (3, f"{base}\n{base}"), (4, None), (None, "anonymous line of text"), (5, "anonymous line of text")]
-    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n_chars long, lids string")
+    docs = spark.createDataFrame([(i, t, 0, "x", 1, "i") for i, t in rows], "doc_id long, text string, n_chars long, lids string, GONE_NUMBERS int, gone_id string")
     out = {r.doc_id: (r.text, r.n_chars, r.lids) for r in line_dedup.drop_lines(docs).collect()}
+    assert line_dedup.drop_lines(docs).columns == docs.columns
     assert out == {1: (f"{base}\nkept\n\nshort", len(base) + 12, "x"), 2: ("unique to two", 13, "x"), 3: ("", 0, "x"), 4: (None, None, "x"), None: ("anonymous line of text", 22, "x"), 5: ("", 0, "x")}
     digest = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.line_digest(docs).collect()}
     assert digest == {1: (4, 0), 2: (3, 2), 3: (2, 2), 4: (0, 0), None: (1, 0), 5: (1, 1)}
@@ -200,17 +203,18 @@ def test_decontamination(spark, sf_dir, odd, none, monkeypatch):
     items = spark.createDataFrame([(1, "no ID"), (1, "no ID"), (2, None), (3, ""), (4, PASSAGE), (None, "x")], "item_id long, text string")
     one = sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in decontaminate.contamination(odd, items).collect())
     assert len(one) == len(TEXTS) and (0, 2, 1) in one and (8, 60, 1) in one
-    monkeypatch.setattr(decontaminate, "PART_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "PART_WINDOWS", 20)  # item 4 is cut into pieces
     assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in decontaminate.contamination(odd, items).collect()) == one
     assert sorted(r.doc_id or 0 for r in decontaminate.drop_contaminated(odd, items).collect()) == [1, 2, 3, 4, 5, 6, 6, 7]
+    assert decontaminate.drop_contaminated(odd, items).columns == odd.columns and decontaminate.drop_contaminated(odd, items.limit(0)).count() == len(TEXTS)
     assert decontaminate.contamination(odd, items.limit(0)).where("contaminated").count() == 0 and decontaminate.contamination(none, items).count() == 0
 
 
 def test_decontamination_of_rows_that_share_an_id(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "red blue"), (1, "red stone"), (None, "blue one"), (None, "two stone"), (2, "plain text")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "red"), (8, "blue"), (None, "stone")], "item_id long, text string")
-    for size in (decontaminate.PART_BYTES, 1):
-        monkeypatch.setattr(decontaminate, "PART_BYTES", size)
+    for size in (decontaminate.PART_WINDOWS, 1):
+        monkeypatch.setattr(decontaminate, "PART_WINDOWS", size)
         got = sorted((r.doc_id or 0, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, items).collect())
         assert got == [(0, 1, 0, True), (0, 1, 1, True), (1, 2, 1, True), (1, 2, 2, True), (2, 0, 0, False)]
 
@@ -237,8 +241,9 @@ def test_suffix_dedup(spark, sf_dir, odd, none, monkeypatch):
     texts = [(i, letters(20) + shared[: rng.integers(90, 131)] + letters(int(rng.integers(0, 30)))) for i in range(120)] + [(500, run), (501, letters(5) + run + letters(9)), (502, None), (503, "")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = brute_suffix([(d, (t or "").encode()) for d, t in texts])
-    for pairs in (48, 4):  # groups compared in pairs, and window by window
-        monkeypatch.setattr(suffix_dedup, "PAIRS", pairs)
+    for pairs, hot, slice_ in ((48, 50_000, 100_000), (4, 50_000, 500), (48, 20, 100), (4, 3, 100_000)):  # in pairs, window by window, hot grams
+        for name, value in (("PAIRS", pairs), ("HOT", hot), ("SLICE", slice_), ("REACH", 150 if slice_ == 100 else 2 << 20)):
+            monkeypatch.setattr(suffix_dedup, name, value)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(df).collect()}
         assert got == want
     assert suffix_dedup.deduplicated(odd, with_text=True).count() == len(TEXTS) and suffix_dedup.deduplicated(none).count() == 0
@@ -264,6 +269,38 @@ def test_passages(spark, sf_dir, odd, none):
     assert shared and all(len({find(d) for d in h}) == 1 for h in shared)
 
 
+def test_passages_that_no_first_holder_shares(spark):
+    left, right, other = ([f"{w}{i}" for i in range(30)] for w in ("left", "right", "else"))
+    rows = [(1, left), (2, right), (3, ["a", *left, *right]), (4, [*left, *right, "b"]), (5, [*other, *left]), (6, [*right, *other]), (7, ["c", *left, *right, *other])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id): r.n_words for r in chained_passages.passages(docs).collect()}
+    assert got[4, 3] == 60 and any(pair[0] == 7 and pair[1] in (3, 4) for pair in got)
+
+
+def test_passages_of_texts_that_repeat_themselves(spark):
+    rows = [(1, ["start", *["a", "b"] * 200, "end"]), (2, ["a", "b"] * 300), (3, ["x", *["a", "b"] * 100])]
+    got = chained_passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} >= {(2, 1), (3, 1)} and len(got) <= 12
+    for r in got:  # no passage lies inside another with the same document
+        assert not any(o is not r and (o.doc_id, o.other_id) == (r.doc_id, r.other_id) and o.start_word <= r.start_word and r.end_word <= o.end_word for o in got)
+
+
+def test_passages_of_repeated_ids_and_long_extensions(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    shared = words(400)
+    rows = [(1, words(80) + shared + words(50)), (1, words(20)), (2, words(7) + shared + words(9)), (2, shared[:50])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    chosen = {i: min(" ".join(w) for j, w in rows if i == j).split() for i in (1, 2)}
+    want = sum(len(set(chosen[1]) & set(chosen[2])) >= 40 for _ in (1,))
+    assert chained_passages.passages(docs).count() == want
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in (rows[0], rows[2])], "doc_id long, text string")
+    monkeypatch.setattr(chained_passages, "MARGIN", 1)
+    monkeypatch.setattr(chained_passages, "RUNGS", ((5, 0), (8, 64), (40, 300)))
+    monkeypatch.setattr(chained_passages, "KEPT", 0.01)
+    assert [(r.start_word, r.end_word, r.other_start, r.other_end) for r in chained_passages.passages(docs).collect()] == [(7, 407, 80, 480)]
+
+
 def test_licences(spark, sf_dir, odd, none):
     rows = queries.queries()["op2_license_classifier"](spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
@@ -291,6 +328,23 @@ def test_top_k(spark, sf_dir):
     assert exact_topk.top_k(odd.limit(0)).count() == 0
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(53)
+    vectors = [(i, (rng.normal(0, 1, 12) * (4 if i % 9 == 0 else 1) / (1 + i % 7)).tolist()) for i in range(700)] + [(2000 + i, [0.5] * 12) for i in range(60)]
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors}
+    want = {}
+    for q in (i for i in whole if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:5]
+        want.update({(q, n + 1): (c, -s) for n, (s, c) in enumerate(best)})
+    for name, value in (("BLOCK", 40), ("QUERIES", 10), ("AT_ONCE", 4), ("BORDERS", 3)):
+        monkeypatch.setattr(exact_topk, name, value)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk.top_k(df, 5).collect()} == want
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(same, 3).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (20, 1, 0), (20, 2, 1), (20, 3, 2), (40, 1, 0), (40, 2, 1), (40, 3, 2)}
+
+
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns = docs.columns
