@@ -6,6 +6,7 @@ TOP_K, WIKI_PAGES, CITATIONS_PER_PAGE, WIKI_REFS = 20, 8, 12, 3
 FTS_TERMS, POOL_MIN, POOL_FACTOR = 12, 80, 8
 CANDIDATES, FINAL_EVIDENCE = 18, 6
 GRAPH_TOP, GRAPH_CAP, SEED_MIN = 24, 0.035, 12
+SEARCH_LIMIT, REWRITES, RERANKED = 10, 2, 12
 VARIANTS, SIMPLE_VARIANTS = 4, 2
 BM25_K1, BM25_B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -94,6 +95,21 @@ REFUSALS = ("证据不足", "无法可靠回答")
 TEST_INSTRUCTIONS = ("test", "测试", "链路测试", "规则路由复测")
 MOJIBAKE = ("æ", "ç", "è", "ä", "å", "ï¼", "ã", "\u0080", "\u0098", "\u009d", "\u0081")
 
+# Latin letters with diacritics and the letters that stand for them in the index and in slugs.
+ACCENTED = "àáâãäåāèéêëēìíîïīòóôõöōùúûüūñçýÿ"
+PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
+
+# Patterns of labels that are no entities (page ranges, chapter heads, manual titles), of broken encodings,
+# and of numbers. Two labels that LABEL_FRAGMENTS covers are not repeated among STOP_LABELS.
+GENERIC_LABELS = (
+    "(?i)^pages?\\s+\\d+(\\s*[-–]\\s*\\d+)?$",
+    "(?i)^introduction\\s*/",
+    "(?i)^mathworks[\\w\\s-]*r20\\d{2}[ab]?$",
+    "(?i)^.*\\b(user guide|getting started guide)\\s+r20\\d{2}[ab]?$",
+)
+BROKEN_LABEL = "(?iu)[ÃÂ\ufffdæçåèéäöü]|(?:\\\\u00[0-9a-f]{2})"
+NUMBER_LABELS = ("(?i)^E\\s*:\\s*\\d+$", "^\\d+(\\.\\d+)*$")
+
 # Labels that are no entities, single words that are, synonyms, and types by keyword.
 STOP_LABELS = ("a", "an", "and", "as", "by", "for", "from", "if", "in", "into", "of", "on", "or", "the", "this", "to", "with", "page", "pages", "source", "evidence", "summary", "note", "notes", "overview", "证据摘要", "编译说明", "来源章节", "核心结论", "introduction", "layout", "system", "systems", "example", "examples", "chapter", "section", "appendix", "contents", "index", "getting started guide", "user guide", "getting started guide r2026a", "create", "validate", "open", "close", "change", "set", "run", "view", "show", "find", "select", "design", "核心结论与关键步骤", "编译规则", "相关概念", "注意事项")
 LABEL_FRAGMENTS = ("核心结论", "关键步骤", "编译规则", "相关概念", "注意事项", "的关系", "关系说明", "证据摘要", "编译说明", "来源章节")
@@ -132,3 +148,46 @@ TYPE_KEYWORDS = (
     ("method", ("method", "strategy", "algorithm", "coverage")),
 )
 RELATION_TYPES = ("relates_to", "part_of", "used_for", "affects", "requires", "contrasts_with")
+ENTITY_TYPES = ("product", "concept", "method", "component", "workflow", "document", "tool", "other")
+
+# What an answer of each role may be, the prompt, and the texts where evidence is lacking.
+PROMPT_TURNS = 12
+CONTRACTS = {
+    "definition": "用 2-3 句简洁中文回答，不要展开背景材料。每一句事实性结论都必须带 [E:n] 引用。",
+    "relationship": "最多用 3 个小段说明：核心关系、映射/集成方式、证据边界。保持简洁，每一句事实性结论都必须带 [E:n] 引用。",
+    "comparison": "用紧凑中文对比，只写证据支持的差异点。每一句事实性结论都必须带 [E:n] 引用。",
+    "procedure": "最多用 4 个编号步骤或要点回答。每个步骤都必须带 [E:n] 引用。",
+    "general": "最多用 4 个简洁中文要点或短段落回答。每一句事实性结论都必须带 [E:n] 引用。",
+}
+NOTHING = "无"
+PROMPT = """你是本地 Simulink / AUTOSAR / Stateflow 知识助手。用户用中文提问时，除英文技术名词、函数名和产品名外，必须用中文回答。
+硬性规则：
+1. 技术事实只能来自下面的证据。
+2. 每一句事实性结论末尾都必须带 [E:数字] 引用。
+3. 证据不足时直接说明，不要编造。
+4. 不要把目录、页眉页脚、版权页当成主要事实依据。
+5. {}
+6. 不要输出英文段落标题，例如 Core Relationship、Mapping/Integration；中文问题请使用中文标题或不要使用标题。
+7. 不要复制证据原文作为答案尾巴；只输出你整理后的最终回答。
+
+用户偏好与项目上下文（不是技术证据）：
+{}
+
+最近对话：
+{}
+
+当前问题：
+{}
+
+证据：
+{}
+"""
+LIST_MARK, KEY_TERMS_TEXT = "、", "关键术语"
+UNCOVERED = "当前知识库中没有足够证据可靠回答这个问题。检索到的资料没有覆盖问题中的关键约束：{}。你可以导入包含这些内容的官方文档，或换一个已入库资料覆盖的问题。"
+NOTHING_FOUND = (
+    "当前资料范围内没有找到足够证据，因此我不直接编造答案。",
+    "你现在启用了资料筛选，可以先切回“全库”再试。",
+    "本轮实际检索词：{}。可以换成更接近文档标题、模块名或英文术语的问法。",
+    "如果这是新领域问题，建议先导入对应的 Simulink、AUTOSAR 或 Stateflow 文档。",
+)
+INDEX_HEAD, INDEX_SECTIONS, INDEX_RULES = "来源章节", "- [[{}]]：{} 个证据块，页面 `{}`{}", ("编译规则", "- 原始文件不可变保存；本页与章节页均可从 evidence chunks 重建。", "- 章节页必须包含原始证据引用；模型输出无引用时自动降级为证据摘要页。")

@@ -30,13 +30,14 @@ def let(value: Column, body) -> Column:
 
 def lexical_tokens(text: Column) -> Column:
     """Distinct tokens in order of first use: ASCII words with ``_ . / : + -`` and bigrams of CJK runs."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(LEXICAL), F.lit(0))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LEXICAL), F.lit(0)))
 
     def cut(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
         return F.when((run >= F.lit("\u4e00")) & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    return F.array_distinct(F.flatten(F.transform(runs, cut)))
+    # most texts have no CJK runs to cut
+    return F.when(text.rlike(f"[{CJK}]"), F.array_distinct(F.flatten(F.transform(runs, cut)))).otherwise(runs)
 
 
 def lexical_text(text: Column) -> Column:
@@ -45,13 +46,23 @@ def lexical_text(text: Column) -> Column:
 
 def index_terms(tokens: Column) -> Column:
     """What the index holds of lexical tokens: their parts between ``_ . / : + -``, in order, repeats kept."""
-    return F.flatten(F.transform(tokens, sub_terms))
+    return F.filter(F.split(F.array_join(tokens, " "), "[ _./:+-]+"), lambda x: x != "")
 
 
 def sub_terms(token: Column) -> Column:
     return F.filter(F.split(token, "[_./:+-]+"), lambda x: x != "")
 
 
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their diacritics."""
+    return F.translate(F.lower(text), C.ACCENTED, C.PLAIN)
+
+
+def raw_terms(text: Column) -> Column:
+    """Letter and digit runs of a text, in order, repeats kept."""
+    return F.filter(F.split(folded(text), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+
+
 def query_terms(text: Column, limit: int = C.FTS_TERMS) -> Column:
     return F.slice(lexical_tokens(text), 1, limit)
 
@@ -116,8 +127,9 @@ def chinese_ratio(text: Column) -> Column:
 
 
 def slug(text: Column, limit: int = 280) -> Column:
-    """ASCII words joined by hyphens; a text without any becomes ``entity-`` and its bytes in hex."""
-    base = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """ASCII words joined by hyphens, Latin letters without their diacritics; a text without any becomes ``entity-`` and its
+    bytes in hex."""
+    base = F.regexp_replace(F.regexp_replace(folded(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(base != "", F.substring(base, 1, limit)).otherwise(F.concat(F.lit("entity-"), F.substring(F.lower(F.hex(F.encode(text, "UTF-8"))), 1, 240)))
 
 
@@ -141,16 +153,11 @@ def valid_label(label: Column) -> Column:
     """Whether a canonical label can name an entity."""
     low = F.lower(strip(label))
     words = F.size(F.split(squeeze(label), " "))
-    generic = (
-        label.rlike("(?i)^pages?\\s+\\d+(\\s*[-–]\\s*\\d+)?$")
-        | label.rlike("(?i)^introduction\\s*/")
-        | label.rlike("(?i)^mathworks[\\w\\s-]*r20\\d{2}[ab]?$")
-        | label.rlike("(?i)^.*\\b(user guide|getting started guide)\\s+r20\\d{2}[ab]?$")
-    )
-    broken = label.rlike("(?iu)[ÃÂ\ufffdæçåèéäöü]|(?:\\\\u00[0-9a-f]{2})")
+    generic = reduce(lambda a, b: a | b, (label.rlike(p) for p in C.GENERIC_LABELS))
+    broken = label.rlike(C.BROKEN_LABEL)
     slashed = F.contains(label, F.lit("/")) & ~contains_any(low, ("autosar", "simulink", "stateflow"))
     tiny = (words == 1) & ~low.isin(*C.SINGLE_WORDS) & (F.length(label) < 4)
-    number = label.rlike("(?i)^E\\s*:\\s*\\d+$") | label.rlike("^\\d+(\\.\\d+)*$")
+    number = reduce(lambda a, b: a | b, (label.rlike(p) for p in C.NUMBER_LABELS))
     return F.coalesce((F.length(label) >= 2) & ~low.isin(*C.STOP_LABELS) & ~contains_any(label, C.LABEL_FRAGMENTS) & ~broken & ~generic & ~slashed & ~tiny & ~number, F.lit(False))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +84,15 @@ def merged_edges(edges: DataFrame) -> DataFrame:
 
 def page_mentions(pages: DataFrame, known: DataFrame, limit: int = 18) -> DataFrame:
     """``(page_id, entity_key, rank)``: entities whose label stands in a page's text, at most ``limit`` by counts. Labels meet
-    pages on their first word, then the whole label is looked for."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda x: x != ""))
-    labels = known.where(F.length("label") >= 2).select("entity_key", "wiki_count", "evidence_count", "confidence", F.lower("label").alias("low"), F.element_at(words(F.col("label")), 1).alias("word"))
-    texts = pages.select("page_id", F.lower(F.concat_ws(" ", "title", "content")).alias("text")).withColumn("word", F.explode(words(F.col("text"))))
-    met = texts.join(labels, "word").where(F.contains("text", "low"))
+    pages on their first two characters, which a page has once per distinct pair and carries without its text; the text is
+    fetched for what meets, and the whole label is looked for."""
+    low = F.lower(F.concat_ws("\n", "title", "content"))
+    label = F.lower("label")
+    labels = known.where(F.length("label") >= 2).select("entity_key", "wiki_count", "evidence_count", "confidence", label.alias("low"), F.substring(label, 1, 2).alias("head"))
+    texts = pages.select("page_id", low.alias("text"))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(2))))
+    heads = texts.select("page_id", F.explode(pairs).alias("head"))
+    met = heads.join(labels, "head").drop("head").join(texts, "page_id").where(F.contains("text", "low"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("wiki_count"), F.desc("evidence_count"), F.desc("confidence"), "entity_key"))
     return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("page_id", "entity_key", "rank")
 
@@ -104,3 +110,107 @@ def top_view(edges: DataFrame, nodes: int, most_edges: int = 900) -> DataFrame:
     best = degrees(edges).orderBy(F.desc("degree"), "node").limit(nodes)
     ends = edges.join(best.select(F.col("node").alias("src"), F.col("degree").alias("a")), "src").join(best.select(F.col("node").alias("dst"), F.col("degree").alias("b")), "dst")
     return ends.orderBy(F.desc(F.col("a") + F.col("b")), "src", "dst").limit(most_edges).select("src", "dst")
+
+
+def compiled(pages: DataFrame, stated: tuple[DataFrame, DataFrame] | None = None, newest: int = C.GRAPH_PAGES) -> tuple[DataFrame, DataFrame]:
+    """The knowledge graph of the ``newest`` pages ``(page_id, title, content, updated)``, rebuilt as a whole.
+
+    Entities ``(entity_key, label, entity_type, source, confidence, wiki_count, evidence_count)`` come by rules and from
+    ``stated`` entities of a model, which replace those of a lower confidence in their place; at most ``PAGE_ENTITIES`` of a
+    page. Relations ``(source_key, target_key, relation_type, label, weight, confidence, page_id, evidence_refs)`` are the
+    stated ones whose ends are entities, then co-occurrences of a page's first entities, each once."""
+    chosen = pages.orderBy(F.desc("updated"), "page_id").limit(newest)
+    mentions = page_entities(chosen)
+    if stated is not None:
+        more = stated[0].select("page_id", (F.col("at") + 1000).alias("position"), "entity_key", "label", "entity_type", F.lit("llm").alias("source"), "confidence")
+        key = Window.partitionBy("page_id", "entity_key")
+        both = mentions.unionByName(more).withColumn("first", F.min("position").over(key))
+        best = both.withColumn("rn", F.row_number().over(key.orderBy(F.desc("confidence"), "position"))).where("rn = 1")
+        place = F.row_number().over(Window.partitionBy("page_id").orderBy("first"))
+        mentions = best.withColumn("position", place).where(F.col("position") <= C.PAGE_ENTITIES).drop("rn", "first")
+    nodes = entities(mentions, chosen)
+    cited = chosen.select("page_id", F.array_sort(T.citations(F.coalesce("content", F.lit("")))).alias("refs"))
+    near = cooccurrences(mentions).select("source_key", "target_key", F.lit("co_occurs").alias("relation_type"), F.lit("co_occurs").alias("label"), F.lit(0.45).alias("weight"), F.lit(0.55).alias("confidence"), F.col("first_page").alias("page_id"), F.lit(6).alias("most"), F.lit(1).alias("kind"), F.lit(0).alias("at"))
+    if stated is not None:
+        said = stated[1].select("source_key", "target_key", "relation_type", "label", F.lit(1.0).alias("weight"), "confidence", "page_id", F.lit(12).alias("most"), F.lit(0).alias("kind"), "at")
+        near = said.unionByName(near)
+    whole = known_ends(near, nodes)
+    first = F.row_number().over(Window.partitionBy("source_key", "target_key", "relation_type").orderBy("kind", "page_id", "at"))
+    rows = whole.withColumn("rn", first).where("rn = 1").join(cited, "page_id", "left")
+    return nodes, rows.select("source_key", "target_key", "relation_type", "label", "weight", "confidence", "page_id", F.slice(F.coalesce("refs", F.array().cast("array<long>")), F.lit(1), F.col("most")).alias("evidence_refs"))
+
+
+def known_ends(relations: DataFrame, entities_: DataFrame) -> DataFrame:
+    """Relations both of whose ends are entities; dangling ones go."""
+    keys = entities_.select("entity_key")
+    inside = relations.join(keys.withColumnRenamed("entity_key", "source_key"), "source_key", "left_semi")
+    return inside.join(keys.withColumnRenamed("entity_key", "target_key"), "target_key", "left_semi").select(*relations.columns)
+
+
+def page_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Wiki links of ``pages(page_id, slug, title, content)``: ``(src, dst)`` slugs where a link names a page's title (the last
+    page of a title), and ``(page_id, concept)`` of the others."""
+    links = pages.select("page_id", "slug", F.explode(T.wiki_links(F.coalesce("content", F.lit("")))).alias("concept"))
+    titles = pages.groupBy(F.col("title").alias("concept")).agg(F.max_by("slug", "page_id").alias("dst"))
+    met = links.join(titles, "concept", "left")
+    return met.where("dst is not null").select(F.col("slug").alias("src"), "dst"), met.where("dst is null").select("page_id", "concept")
+
+
+def hetero_graph(documents: DataFrame, pages: DataFrame, chunks: DataFrame, entities_: DataFrame, relations_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole graph: nodes ``(node, type, label)`` and edges ``(src, dst, edge_type)``.
+
+    Documents, wiki pages, cited chunks and entities are nodes; pages come from documents, cite chunks, link to pages by title
+    and mention entities; chunks come from documents; relations join entities. Without entities, links that name no page
+    become concepts. ``documents(document_id, title)``, ``pages(page_id, slug, title, content, document_id)``,
+    ``chunks(chunk_id, document_id)``."""
+    node = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"))
+    cited = pages.select("slug", F.explode(T.citations(F.coalesce("content", F.lit("")))).alias("chunk_id"))
+    linked, concepts = page_links(pages)
+    bare = entities_.limit(1).count() == 0
+    named = concepts.join(pages.select("page_id", "slug"), "page_id").withColumn("key", T.slug(F.col("concept")))
+    mentions = page_mentions(pages, entities_).join(pages.select("page_id", "slug"), "page_id")
+    nodes = [
+        documents.select(node("doc", "document_id").alias("node"), F.lit("document").alias("type"), F.col("title").alias("label")),
+        pages.select(node("wiki", "slug").alias("node"), F.lit("wiki_page").alias("type"), F.col("title").alias("label")),
+        cited.select(node("evidence", "chunk_id").alias("node"), F.lit("evidence").alias("type"), F.concat(F.lit("E:"), F.col("chunk_id").cast("string")).alias("label")).distinct(),
+        entities_.select(node("entity", "entity_key").alias("node"), F.lit("entity").alias("type"), "label"),
+    ]
+    edges = [
+        edge(pages.where("document_id is not null"), node("doc", "document_id"), node("wiki", "slug"), "compiled_to"),
+        edge(cited, node("wiki", "slug"), node("evidence", "chunk_id"), "cites"),
+        edge(linked, node("wiki", "src"), node("wiki", "dst"), "links_to"),
+        edge(mentions, node("wiki", "slug"), node("entity", "entity_key"), "mentions"),
+        edge(chunks.join(cited.select("chunk_id").distinct(), "chunk_id", "left_semi"), node("evidence", "chunk_id"), node("doc", "document_id"), "from_document"),
+        relations_.select(node("entity", "source_key").alias("src"), node("entity", "target_key").alias("dst"), F.col("relation_type").alias("edge_type")),
+    ]
+    if bare:
+        nodes.append(named.groupBy(node("concept", "key").alias("node")).agg(F.lit("concept").alias("type"), F.max_by("concept", "page_id").alias("label")))
+        edges.append(edge(named, node("wiki", "slug"), node("concept", "key"), "mentions"))
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    return union(nodes), union(edges).distinct()
+
+
+def wiki_context(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(node, entities, evidence, outlinks, backlinks)`` of the pages ``(node)``: the first 12 entities, 18 chunks, 12 pages each
+    links to and 12 that link to it, by name."""
+    mine = edges.join(pages.select(F.col("node").alias("src")), "src", "left_semi")
+    few = lambda df, by, item, most, name: df.groupBy(F.col(by).alias("node")).agg(F.slice(F.array_sort(F.collect_set(item)), 1, most).alias(name))
+    out = pages.select("node")
+    for part in (
+        few(mine.where("edge_type = 'mentions'"), "src", "dst", 12, "entities"),
+        few(mine.where("edge_type = 'cites'"), "src", "dst", 18, "evidence"),
+        few(mine.where("edge_type = 'links_to'"), "src", "dst", 12, "outlinks"),
+        few(edges.where("edge_type = 'links_to'"), "dst", "src", 12, "backlinks"),
+    ):
+        out = out.join(part, "node", "left")
+    return out.select("node", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("entities", "evidence", "outlinks", "backlinks")])
+
+
+def rings(nodes: DataFrame, edges: DataFrame, radii: dict[str, float]) -> DataFrame:
+    """``(node, type, degree, x, y)``: a ring per type, its nodes by descending degree at equal angles."""
+    rows = nodes.join(degrees(edges), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    by = Window.partitionBy("type")
+    angle = 2 * F.pi() * (F.row_number().over(by.orderBy(F.desc("degree"), "node")) - 1) / F.count("*").over(by)
+    radius = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in radii.items() for v in pair]), F.col("type")), F.lit(max(radii.values())))
+    return rows.withColumn("a", angle).withColumn("r", radius).select("node", "type", "degree", (F.round(F.col("r") * F.cos("a"), 6) + 0.0).alias("x"), (F.round(F.col("r") * F.sin("a"), 6) + 0.0).alias("y"))

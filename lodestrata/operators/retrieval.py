@@ -6,8 +6,12 @@ no question asks for are dropped before postings are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +19,10 @@ from lodestrata import config as C
 from lodestrata.functions import text as T
 
 
-def corpus(docs: DataFrame, id_column: str, *columns: str) -> DataFrame:
-    """``(doc_id, terms, dl)``: index terms over all the given text columns, in order."""
-    parts = [T.index_terms(T.lexical_tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns]
+def corpus(docs: DataFrame, id_column: str, *columns: str, raw: bool = False) -> DataFrame:
+    """``(doc_id, terms, dl)``: index terms over all the given text columns, in order. ``raw`` texts are indexed as they are,
+    with all repeats (the page index); others by their distinct lexical tokens (the chunk index)."""
+    parts = [T.raw_terms(F.coalesce(F.col(c), F.lit(""))) if raw else T.index_terms(T.lexical_tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns]
     return docs.select(F.col(id_column).alias("doc_id"), F.concat(*parts).alias("terms")).withColumn("dl", F.size("terms"))
 
 
@@ -27,20 +32,31 @@ def question_phrases(questions: DataFrame, limit: int = C.FTS_TERMS) -> DataFram
     return questions.select("query_id", tokens).select("query_id", T.sub_terms(F.col("token")).alias("phrase")).where(F.size("phrase") > 0)
 
 
-def bm25(docs: DataFrame, questions: DataFrame, id_column: str = "doc_id", columns: tuple[str, ...] = ("text",)) -> DataFrame:
+def bm25(docs: DataFrame, questions: DataFrame, id_column: str = "doc_id", columns: tuple[str, ...] = ("text",), *, raw: bool = False) -> DataFrame:
     """``(query_id, doc_id, score)`` of all matching pairs, higher is better: an OR of the question's phrases. A phrase of
     several terms matches where they stand next to each other."""
-    indexed = corpus(docs, id_column, *columns)
+    return bm25_indexed(corpus(docs, id_column, *columns, raw=raw), questions)
+
+
+def bm25_indexed(indexed: DataFrame, questions: DataFrame) -> DataFrame:
+    """The same over ``indexed(doc_id, terms, dl)``, such as a stored index."""
     asked = question_phrases(questions).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
-    stats = indexed.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     phrases = asked.select("phrase").distinct()
-    longest = phrases.agg(F.max(F.size("phrase"))).first()[0] or 1
-    heads = phrases.select(F.element_at("phrase", 1).alias("term"), "phrase")
-    # a row per place with as many terms as the longest phrase has, so that no row drags its document along
-    windows = F.transform("terms", lambda _, i: F.slice("terms", i + 1, longest))
-    places = indexed.select("doc_id", "dl", F.explode(windows).alias("window")).withColumn("term", F.element_at("window", 1)).join(heads, "term")
-    hits = places.where(F.slice("window", 1, F.size("phrase")) == F.col("phrase"))
-    matched = hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    longest = phrases.agg(F.max(F.size("phrase"))).first()[0] or 1  # at most as many as a token has parts
+    # a row per place, with as many terms as the longest phrase has, so that no row drags its document along; and one without
+    # terms per document, which carries its length: all that follows comes from one grouping, so texts are read and cut once
+    if longest == 1:
+        places = indexed.select("doc_id", "dl", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).withColumn("window", F.array("term"))
+    else:
+        windows = F.transform("terms", lambda _, i: F.slice("terms", i + 1, longest))
+        places = indexed.select("doc_id", "dl", F.explode(F.concat(F.array(F.array(F.lit(""))), windows)).alias("window")).withColumn("term", F.element_at("window", 1))
+    blank = F.array(F.lit(""))
+    heads = phrases.select(F.element_at("phrase", 1).alias("term"), "phrase").union(questions.sparkSession.range(1).select(F.lit(""), blank))
+    hits = places.join(heads, "term").where(F.slice("window", 1, F.size("phrase")) == F.col("phrase"))
+    # the mark is an aggregate, so that no filter on it goes below the grouping and the shuffle serves every use
+    counted = hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.max(F.col("phrase") == blank).alias("whole"))
+    stats = counted.where("whole").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    matched = counted.where("not whole")
     df = matched.groupBy("phrase").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(C.IDF_FLOOR))
     weight = idf * F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
@@ -58,21 +74,56 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = C.TOP_K, block: int = 512) -> DataFrame:
-    """``(query_id, vec_id, score, rank)``. Both sides are ``(id, embedding)``; questions travel in parts of about ``block``,
-    each of which meets every vector once, so the shuffle carries blocks rather than pairs."""
-    parts = max(1, -(-queries.count() // block))
-
-    def unit(df: DataFrame, id_column: str) -> DataFrame:
-        norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-        return df.where("embedding is not null").select(id_column, F.when(norm > 0, F.transform("embedding", lambda x: x.cast("double") / norm)).alias("unit")).where("unit is not null")
-
-    asked = unit(queries, "query_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    packed = asked.groupBy("part").agg(F.collect_list(F.struct("query_id", "unit")).alias("asked"))
-    spread = unit(vectors, "vec_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumnRenamed("unit", "v")
-    pairs = spread.join(packed, "part").select("vec_id", "v", F.explode("asked").alias("q"))
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", dot(F.col("q.unit"), F.col("v")).alias("score"))
-    return ranked(scored, limit, item="vec_id")
+#: Questions that one pass over the vectors serves: what a broadcast of them holds at most.
+ASKED = 4096
+
+
+def _dense_best(ids: pa.Array, asked: np.ndarray, limit: int, width: int):
+    """Scores a task's vectors against the asked ones; each batch lets its best ``limit`` of each question go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1))
+            batch = batch.filter(pc.fill_null(pc.equal(sizes, width), False))
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                v = np.nan_to_num(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width))
+                norm = np.linalg.norm(v, axis=1)
+                at = np.flatnonzero(norm > 0)
+                if not len(at):
+                    continue
+                score = np.round(asked @ (v[at] / norm[at, None]).T, 12)
+                keep = min(limit, len(at))
+                low = np.partition(np.round(score, 9), len(at) - keep, axis=1)[:, len(at) - keep]
+                rows, cols = np.nonzero(np.round(score, 9) >= low[:, None])  # ties at the last place go on together
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), part.column(0).take(pa.array(at[cols])), pa.array(score[rows, cols])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = C.TOP_K) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``. Both sides are ``(id, embedding)``. Questions are broadcast in parts of about
+    ``ASKED``, and each part is one pass over the vectors: a task scores its batches as matrix products and lets only the best
+    ``limit`` of each question go on, so the shuffle carries neither vectors nor pairs of low rank. Null vectors, zero
+    vectors and those of another length than most questions' are left out."""
+    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    total, width = asked.agg(F.count("*"), F.mode(F.size("embedding"))).first()
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+    parts = max(1, -(-total // ASKED))
+    found = None
+    for i in range(parts):
+        rows = asked.where((F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) & (F.size("embedding") == F.lit(width))).toArrow()
+        v = np.nan_to_num(rows.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)) if rows.num_rows else np.empty((0, 1))
+        norm = np.linalg.norm(v, axis=1)
+        held = np.flatnonzero(norm > 0)
+        if not len(held):
+            continue
+        run = _dense_best(rows.column(0).combine_chunks().take(pa.array(held)), v[held] / norm[held, None], limit, width)
+        best = vectors.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, kinds)
+        found = best if found is None else found.union(best)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], kinds)
+    return ranked(found, limit, item="vec_id")
 
 
 def variants(questions: DataFrame, expansions: tuple = C.EXPANSIONS) -> DataFrame:
@@ -83,6 +134,73 @@ def variants(questions: DataFrame, expansions: tuple = C.EXPANSIONS) -> DataFram
     return questions.select("query_id", F.posexplode(kept).alias("variant", "text"))
 
 
+def with_rewrites(rows: DataFrame, rewrites: DataFrame, most: int = C.REWRITES) -> DataFrame:
+    """``(query_id, variant, text)`` of ``variants`` with a model's rewrites ``(query_id, at, text)`` between the question and its
+    expansions: at most ``most`` of a question, without repeats and blanks, all of them cut to the question's limit."""
+    written = rewrites.where(T.strip(F.coalesce("text", F.lit(""))) != "").groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), 1, most).alias("more"))
+    all_ = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("variant", "text"))), lambda x: x["text"]).alias("own")).join(written, "query_id", "left")
+    first = F.slice("own", 1, 1)
+    texts = F.array_distinct(F.concat(first, F.coalesce("more", F.array().cast("array<string>")), F.slice("own", 2, C.VARIANTS)))
+    return all_.select("query_id", F.posexplode(F.slice(texts, 1, F.when(T.simple_relation(F.element_at("own", 1)), C.SIMPLE_VARIANTS).otherwise(C.VARIANTS))).alias("variant", "text"))
+
+
+def wiki_search(pages: DataFrame, questions: DataFrame, limit: int = C.WIKI_PAGES) -> DataFrame:
+    """``(query_id, page_id, rank, score)``: the best pages ``(page_id, title, content)`` of each question over the raw texts of
+    title and content."""
+    return ranked(bm25(pages, questions, "page_id", ("title", "content"), raw=True), limit).withColumnRenamed("doc_id", "page_id")
+
+
+def reranked(candidates: DataFrame, orders: DataFrame) -> DataFrame:
+    """Candidates ``(query_id, chunk_id, position)`` in a model's order ``(query_id, ids array)``: named ids first, in the order
+    in which they were named; the others after them as they stood."""
+    place = orders.select("query_id", F.posexplode(F.array_distinct("ids")).alias("place", "chunk_id"))
+    rows = candidates.join(place, ["query_id", "chunk_id"], "left")
+    new = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("place", F.lit(999)), "position"))
+    return rows.withColumn("position", new).drop("place")
+
+
+def hybrid_search(questions: DataFrame, chunks: DataFrame, pages: DataFrame, vectors: DataFrame, asked_vectors: DataFrame, relations: DataFrame, limit: int = C.SEARCH_LIMIT, *, allowed: DataFrame | None = None, rewrites: DataFrame | None = None) -> DataFrame:
+    """The whole search for a batch of questions ``(query_id, text)``: variants through the lexical, page and vector channels,
+    fusion, graph expansion from the best of them, pool, contents filter, boosts; ``limit`` rows of each question.
+
+    ``chunks(chunk_id, document_id, title, heading_path, content, page)``; ``pages(page_id, title, content)``;
+    ``vectors(vec_id, embedding)`` by chunk_id; ``asked_vectors(query_id, variant, embedding)``; ``relations`` as for
+    ``graph_channel``; ``allowed(document_id)`` keeps ranks and drops rows of other documents. Returns ``query_id, position,
+    chunk_id, rrf_score, channels, concept_boost, domain_boost, final_score, wiki_refs, dense_reason``."""
+    spoken = variants(questions)
+    spoken = with_rewrites(spoken, rewrites) if rewrites is not None else spoken
+    keyed = spoken.select(F.struct("query_id", "variant").alias("query_id"), "text")
+    own = lambda df: df.withColumn("query_id", F.col("query_id.query_id"))
+    inside = chunks.join(allowed, "document_id", "left_semi") if allowed is not None else chunks
+    known = inside.select("chunk_id")
+
+    def filtered(rows: DataFrame) -> DataFrame:
+        return rows.join(known, "chunk_id", "left_semi") if allowed is not None else rows
+
+    lexical = ranked(bm25(chunks, keyed, "chunk_id", ("title", "heading_path", "content")), C.TOP_K)
+    lexical = filtered(own(channel_scores(lexical, "bm25")))
+    paged = own(wiki_channel(wiki_search(pages, keyed), pages))
+    paged = filtered(paged)
+    early = lexical.unionByName(paged.select(*lexical.columns))
+    hits = early.groupBy("query_id").agg(F.countDistinct("chunk_id").alias("hits"))
+    gate = questions.join(hits, "query_id", "left").select("query_id", dense_skip_reason(F.col("text"), F.coalesce("hits", F.lit(0)), limit).alias("dense_reason"))
+    dense = cosine_topk(vectors, asked_vectors.join(spoken, ["query_id", "variant"], "left_semi").select(F.struct("query_id", "variant").alias("query_id"), "embedding"))
+    dense = filtered(own(channel_scores(dense, "dense", item="vec_id"))).join(gate.where("dense_reason is null"), "query_id", "left_semi")
+    scored = fused(early, dense.select(*lexical.columns))
+    seeds = ranked(scored, max(limit, C.SEED_MIN), "rrf_score", "chunk_id").select("query_id", "chunk_id")
+    linked = filtered(graph_channel(seeds, relations)).select("query_id", "chunk_id", "score", F.lit("graph").alias("channel"))
+    again = scored.select("query_id", "chunk_id", F.col("rrf_score").alias("score"), F.explode_outer("channels").alias("channel"))
+    first = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("channel"))
+    again = again.withColumn("score", F.when(first == 1, F.col("score")).otherwise(0.0))  # a chunk's score counts once
+    best = pool(fused(again, linked), limit)
+    refs = paged.groupBy("query_id", "chunk_id").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("refs", lambda r: F.struct(r["page_id"].alias("page_id"), r["title"].alias("title")))))).alias("wiki_refs"))
+    asked = questions.select("query_id", F.col("text").alias("question"), T.domains(F.col("text")).alias("query_domains"))
+    rows = best.join(asked, "query_id").join(inside, "chunk_id").join(refs, ["query_id", "chunk_id"], "left").join(gate, "query_id", "left")
+    rows = boosted(without_toc(rows.withColumn("document_domains", T.domains(F.col("title"), "title")), limit))
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "pool_rank"))
+    return rows.withColumn("position", position).where(F.col("position") <= limit).select("query_id", "position", "chunk_id", "rrf_score", "channels", "concept_boost", "domain_boost", "final_score", F.coalesce("wiki_refs", F.array().cast(refs.schema["wiki_refs"].dataType)).alias("wiki_refs"), "dense_reason")
+
+
 def channel_scores(top: DataFrame, channel: str, k: int = C.RRF_K, item: str = "doc_id") -> DataFrame:
     return top.select("query_id", F.col(item).alias("chunk_id"), (1 / (F.lit(k) + F.col("rank"))).alias("score"), F.lit(channel).alias("channel"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import dialogue, ingest, retrieval  # noqa: F401
+from lodestrata.plans import composed, dialogue, ingest, knowledge, retrieval  # noqa: F401
 from lodestrata.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -124,12 +124,32 @@ def phrase_entities(spark, sf_dir):
     return graph.phrases(rows)
 
 
-@query()
+def _said(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_LABELLED = f"""pc as (select doc_id as page_id, source, lang, regexp_replace(text || ' [E:' || doc_id || '] [E:' || (doc_id + 1) || ']', '[^\\x00-\\x7F]', '_', 'g') as content from documents),
+pf as (select page_id, unnest(l) as phrase, generate_subscripts(l, 1) - 1 as place from (select page_id, regexp_extract_all(content, '\\b[A-Z][A-Za-z0-9/+.-]*(?:\\s+[A-Z][A-Za-z0-9/+.-]*){{0,4}}\\b') as l from pc)),
+pr as (select page_id, phrase, row_number() over (partition by page_id order by count(*) desc, min(place)) as seat from pf group by page_id, phrase qualify seat <= 18),
+raws as (select page_id, 1 as kind, unnest([0, 1]) as seat, unnest([source, lang]) as raw, 'wiki_link' as source, 0.9::double as confidence from pc union all select page_id, 3, seat, phrase, 'phrase', 0.68 from pr),
+cleaned as (select *, substr(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\[E:\\d+\\]', '', 'g'), '[#*_`>]+', '', 'g'), '\\s+', ' ', 'g')), '^[ :：,，.。;；]+|[ :：,，.。;；]+$', '', 'g'), 1, 160) as c from raws),
+labelled as (select *, case lower(c) {' '.join(f"when '{_said(k)}' then '{_said(v)}'" for k, v in C.SYNONYMS.items())} else case {' '.join(f"when starts_with(lower(c), '{_said(k)}') then '{_said(v)}'" for k, v in C.LABEL_PREFIXES)} else c end end as label from cleaned),
+valid as (select *, coalesce(nullif(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'entity-' || lower(hex(encode(label)))) as entity_key,
+  case {' '.join(f"when {_any('lower(label)', words)} then '{kind}'" for kind, words in C.TYPE_KEYWORDS)} else 'concept' end as entity_type from labelled
+  where len(label) >= 2 and not list_contains([{', '.join(f"'{w}'" for w in C.STOP_LABELS)}], lower(trim(label))) and not {_any('label', C.LABEL_FRAGMENTS)} and not regexp_matches(label, '{C.BROKEN_LABEL.replace("(?iu)", "(?i)")}') and not ({' or '.join(f"regexp_matches(label, '{p}')" for p in (*C.GENERIC_LABELS, *C.NUMBER_LABELS))})
+  and not (contains(label, '/') and not {_any('lower(label)', ('autosar', 'simulink', 'stateflow'))}) and not (len(string_split_regex(trim(label), '\\s+')) = 1 and not list_contains([{', '.join(f"'{w}'" for w in C.SINGLE_WORDS)}], lower(trim(label))) and len(label) < 4)
+  and (kind <> 3 or not list_contains([{', '.join(f"'{w}'" for w in C.PHRASE_STOPS)}], label))),
+once as (select * from valid qualify row_number() over (partition by page_id, entity_key order by kind, seat) = 1),
+mentioned as (select page_id, cast(row_number() over (partition by page_id order by kind, seat) as integer) as position, entity_key, label, entity_type, source, confidence from once qualify position <= {C.RULE_ENTITIES})"""
+
+
+@query(f"with {_LABELLED} select * from mentioned")
 def page_entities(spark, sf_dir):
     return graph.page_entities(_pages(spark, sf_dir))
 
 
-@query()
+@query(f"""with {_LABELLED}, cited as (select entity_key, count(distinct chunk_id) as evidence_count from (select entity_key, unnest([page_id, page_id + 1]) as chunk_id from mentioned) group by all)
+select entity_key, arg_min(label, (page_id, position)) as label, arg_min(entity_type, (page_id, position)) as entity_type, arg_min(source, (page_id, position)) as source, max(confidence) as confidence, count(distinct page_id) as wiki_count, any_value(evidence_count) as evidence_count from mentioned join cited using (entity_key) group by entity_key""")
 def entity_table(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     return graph.entities(graph.page_entities(pages), pages)

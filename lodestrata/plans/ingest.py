@@ -112,10 +112,10 @@ def point_ids(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", chunking.point_id(F.sha2("text", 256), F.lit(0)).alias("point_id"))
 
 
-@query("select doc_id, sha256('bge-m3' || chr(10) || text) as hash, '标题路径：' || source || ' / ' || lang || chr(10) || '正文：' || substr(text, 1, 40) as embed_text from documents")
+@query("select doc_id, sha256('bge-m3' || chr(10) || text) as hash, '标题路径：' || source || ' / ' || lang || chr(10) || '正文：' || text as embed_text from documents")
 def embedding_inputs(spark, sf_dir):
     path = F.array("source", "lang")
-    return load(spark, sf_dir, "documents").select("doc_id", ingest.embedding_hash(F.lit("bge-m3"), F.col("text")).alias("hash"), chunking.embed_text(path, F.substring("text", 1, 40)).alias("embed_text"))
+    return load(spark, sf_dir, "documents").select("doc_id", ingest.embedding_hash(F.lit("bge-m3"), F.col("text")).alias("hash"), chunking.embed_text(path, F.col("text")).alias("embed_text"))
 
 
 @query("with t as (select doc_id, source, sha256('bge-m3' || chr(10) || text) as hash from documents) select doc_id, hash from t where hash not in (select hash from t where source in ('src0', 'src1'))")

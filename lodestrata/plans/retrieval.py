@@ -148,7 +148,14 @@ def selector_score(spark, sf_dir):
     return rows.select("query_id", "chunk_id", "candidate_rank", "role", "evidence_role", F.coalesce(selection.noise_reason(F.col("content"), F.col("heading_path")), F.lit("")).alias("noise"), "selector_score")
 
 
-@query()
+#: Titles of these tables name no domain and every document is a chunk, so neither domains, quotas nor duplicates decide here;
+#: tests hold those rules to cases of their own.
+@query(f"""with {_BM25}, c as (select query_id, doc_id, rank, b.text as question, d.text as text, lower(source || '  ' || d.text) as t from ranked join documents d using (doc_id) join benchmark b on item_id = query_id where rank <= 18),
+x as (select *, {_ROLE.replace('text', 'question')} as role, {' + '.join(f"cast(contains(t, '{w}') as integer)" for w in C.RELATION_EVIDENCE)} as hits, {' + '.join(f"cast(contains(t, '{w}') and contains(lower(question), '{w}') as integer)" for w in C.KEY_TERMS)} as shared from c),
+s as (select query_id, doc_id as chunk_id, rank as candidate_rank, {_NOISE} as noise,
+round(round(1.0 / (60 + rank), 9) + 0.016 + case when len(text) < 80 then -0.010 else 0 end + case when len(text) > 2200 then -0.006 else 0 end + 0.01 * shared + case when role = 'relationship' then least(0.045, 0.009 * hits) else 0 end, 6)::double as selector_score from x),
+p as (select *, cast(row_number() over (partition by query_id, noise order by selector_score desc, candidate_rank) as integer) as position from s)
+select query_id, chunk_id, candidate_rank, case when noise = '' then selector_score end as selector_score, case when noise = '' and position <= 6 then position end as position, case when noise <> '' then noise when position > 6 then 'below_selected_cut' end as reason from p""")
 def evidence_select(spark, sf_dir):
     return selection.select_evidence(selection.selector_score(candidates(spark, sf_dir)))
 
@@ -189,16 +196,35 @@ def snippet_units(spark, sf_dir):
     return selection.scored_units(items).select("query_id", "chunk_id", "position", F.length("unit").cast("long").alias("n_chars"), F.round("score", 6).alias("score"))
 
 
-@query()
+_SNIPPETS = f"""{_BM25}, c as (select query_id, doc_id, rank, b.text as question, d.text as content, source, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) as t from ranked join documents d using (doc_id) join benchmark b on item_id = query_id where rank <= 6),
+sp as (select *, list_filter(list_transform(string_split(regexp_replace(t, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as u from c),
+w as (select query_id, doc_id, question, case when t = '' then [] when len(u) <= 1 and len(t) > 220 then list_transform(range(0, cast(floor((len(t) - 1) / 220) as bigint) + 1), lambda i: trim(substr(t, cast(i * 220 + 1 as bigint), 220))) else u end as u from sp),
+e as (select query_id, doc_id, question, unnest(u) as unit, generate_subscripts(u, 1) - 1 as position from w),
+k as (select *, list_distinct(regexp_extract_all(lower(question), '[a-z0-9_./:+-]+')) as a, list_distinct(regexp_extract_all(lower(unit), '[a-z0-9_./:+-]+')) as b from e),
+us as (select query_id, doc_id, position, unit, round(case when len(b) = 0 then 0 else 2.0 * len(list_intersect(a, b)) + len(list_intersect(a, b)) / len(b)::double + case when position <= 1 then 0.35 else 0 end + case when {_any('unit', C.UNIT_MARKS)} then 0.25 else 0 end end, 9) as score from k),
+ur as (select *, row_number() over (partition by query_id, doc_id order by score desc, position) as rank from us qualify rank <= {C.SNIPPET_RANKED}),
+un as (select *, row_number() over (partition by query_id, doc_id order by rank) as step from ur where len(unit) >= {C.SNIPPET_MIN}),
+fold as (select query_id, doc_id, 0::bigint as step, 0::bigint as total, []::integer[] as held from c
+  union all select f.query_id, f.doc_id, f.step + 1, case when s then total else total + len(unit) end, case when s then held else list_append(held, position::integer) end
+  from (select f.*, unit, position, len(held) >= {C.SNIPPET_UNITS} or total >= {C.SNIPPET_CHARS} or (total + len(unit) > {C.SNIPPET_CHARS} and len(held) > 0) as s from fold f join un on un.query_id = f.query_id and un.doc_id = f.doc_id and un.step = f.step + 1) f),
+picked as (select query_id, doc_id, held from fold qualify row_number() over (partition by query_id, doc_id order by step desc) = 1),
+texts as (select query_id, doc_id, string_agg(unit, ' ' order by position) as joined from picked join us using (query_id, doc_id) where list_contains(held, position::integer) group by all),
+snip as (select c.query_id, c.doc_id as chunk_id, c.rank, c.source, c.content, c.question, coalesce(rtrim(substr(joined, 1, {C.SNIPPET_CHARS}), ' '), regexp_replace(substr(c.content, 1, {C.SNIPPET_CHARS}), '^\\s+|\\s+$', '', 'g')) as snippet from c left join texts using (query_id, doc_id))"""
+
+
+@query(f"with recursive {_SNIPPETS} select query_id, chunk_id, sha256(snippet) as snippet_hash, len(snippet) as n_chars from snip")
 def snippet_select(spark, sf_dir):
     items = candidates(spark, sf_dir).where(F.col("candidate_rank") <= C.FINAL_EVIDENCE)
-    return selection.snippets(items.select("query_id", "question", "chunk_id", "content"))
+    out = selection.snippets(items.select("query_id", "question", "chunk_id", "content"))
+    return out.select("query_id", "chunk_id", F.sha2(F.encode("snippet", "UTF-8"), 256).alias("snippet_hash"), F.length("snippet").cast("long").alias("n_chars"))
 
 
-@query()
+@query(f"""with recursive {_SNIPPETS}, ro as (select *, {_ROLE.replace('text', 'question')} as role from snip), li as (select * from ro where rank <= case role {' '.join(f"when '{k}' then {v}" for k, v in C.ROLE_LIMITS.items())} end)
+select query_id, any_value(role) as role, count(*) as n_evidence, cast(sum(len(content)) as bigint) as original_chars, sha256(string_agg('[E:' || chunk_id || '] source=' || source || '; page=unknown; heading=' || chr(10) || snippet, chr(10) || chr(10) order by rank)) as context_hash from li group by query_id""")
 def compact_context(spark, sf_dir):
     items = candidates(spark, sf_dir).where(F.col("candidate_rank") <= C.FINAL_EVIDENCE)
-    return selection.compact_context(items.withColumnRenamed("candidate_rank", "position"))
+    out = selection.compact_context(items.withColumnRenamed("candidate_rank", "position"))
+    return out.select("query_id", "role", "n_evidence", "original_chars", F.sha2(F.encode("context", "UTF-8"), 256).alias("context_hash"))
 
 
 @query("select doc_id, lower(trim(text)) like 'contents %' or (len(text) - len(replace(text, '. . .', ''))) / 5 >= 3 or len(regexp_extract_all(text, '\\b\\d+-\\d+\\b')) >= 8 or floor((len(text) - len(replace(lower(text), ' on page ', ''))) / 9) >= 5 as toc from documents")

@@ -26,7 +26,7 @@ def test_bm25_equals_fts5_with_phrases(spark):
 def test_cosine_matches_brute_force(spark):
     rows = [(i, [float((i * 7 + j * 3) % 5 - 2), 1.0]) for i, j in ((i, i % 3) for i in range(20))] + [(99, None), (98, [0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r.query_id, r.rank): r.vec_id for r in retrieval.cosine_topk(vectors, vectors.where("vec_id < 3").withColumnRenamed("vec_id", "query_id"), 5, block=2).collect()}
+    got = {(r.query_id, r.rank): r.vec_id for r in retrieval.cosine_topk(vectors, vectors.where("vec_id < 3").withColumnRenamed("vec_id", "query_id"), 5).collect()}
     full = {i: v for i, v in rows if v and any(v)}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     for q in range(3):
