@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from lodestrata.llm.common import byte_column, held, pieces, ship
 
-#: Pre-tokens longer than this are encoded afresh; the table holds at most CACHE_ROWS shorter ones (about 220 MB).
-CACHE_BYTES, CACHE_ROWS = 64, 1_000_000
+#: Pre-tokens longer than this are encoded afresh; the table holds at most CACHE_ROWS shorter ones (about 90 MB).
+CACHE_BYTES, CACHE_ROWS = 64, 400_000
 
 
 _BIT = tuple(1 << i for i in range(256))
@@ -41,18 +41,24 @@ class RankQueue:
 
 
 class _Pieces(dict):
-    """Ids of pre-tokens; a missing one is encoded, and kept if it is short. Cleared when full."""
+    """Ids of pre-tokens; a missing one is encoded, and kept if it is short. Half the rows are the latest; when that half is
+    full it becomes the older one, from which what is met again comes back."""
 
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
-        ids = self.codec.merge(raw)
-        if len(raw) <= CACHE_BYTES:
-            if len(self) >= CACHE_ROWS:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8")
+            ids = self.codec.merge(raw)
+            if len(raw) > CACHE_BYTES:
+                return ids
+        if len(self) >= CACHE_ROWS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 

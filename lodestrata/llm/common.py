@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -114,16 +116,27 @@ _HELD: dict[str, object] = {}
 def held(name: str, build: Callable[[], object]) -> object:
     """The worker's table of this name; another one's goes first, so that workers that serve many operators stay small."""
     if name not in _HELD:
-        _HELD.clear()
+        _let_go()
         _HELD[name] = build()
     return _HELD[name]
 
 
+def _let_go() -> None:
+    """Gives what the worker holds, and memory that it no longer uses, back to the system."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def pieces(batches: Iterable[pa.RecordBatch], name: str, most: int = 8 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the named column has about ``most`` bytes in each; a longer row stands alone. Drops what the
     worker holds for others than ``keep``."""
-    if keep not in _HELD:
-        _HELD.clear()
+    if _HELD and keep not in _HELD:
+        _let_go()
     for batch in batches:
         if not batch.num_rows:
             continue
