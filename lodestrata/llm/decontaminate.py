@@ -188,3 +188,17 @@ def _without(docs: DataFrame, part: list[tuple[int | None, bytes]]) -> DataFrame
                 yield kept
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_WORDS_SQL = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+#: The same rows by brute force, for DuckDB: all windows of either side, joined.
+ORACLE_SQL = f"""
+with d as (select doc_id, coalesce({_WORDS_SQL}, []) as w from documents),
+b as (select item_id, {_WORDS_SQL} as w from benchmark where text is not null),
+p as (select distinct item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') as g from (select item_id, w, least(len(w), {WINDOW}) as m, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as i from b where len(w) > 0)),
+x as (select doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') as g from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from p) where len(w) >= m)),
+met as (select doc_id, item_id, m, i from x join p using (m, g)),
+hit as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + m)) as j from met) group by all),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, cast(item_id as varchar) as item from met where item_id is not null) group by all)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join hit using (doc_id) left join items using (doc_id)
+"""

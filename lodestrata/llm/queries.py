@@ -75,5 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_norm_sorted_topk": exact_topk.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op3_norm_sorted_topk": exact_topk.ORACLE_SQL, "op9_wu_manber": decontaminate.ORACLE_SQL, "op10_deep_shallow": suffix_dedup.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}

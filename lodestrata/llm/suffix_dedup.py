@@ -495,3 +495,17 @@ def deduplicated(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
 
     joined = docs.select("doc_id", "text").join(spans, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("d"), "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+
+#: The same rows by brute force, for DuckDB: all strings of LENGTH bytes, as hexadecimal digits.
+ORACLE_SQL = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, s, md5(substr(h, 2 * s + 1, {2 * LENGTH})) as g from (select doc_id, h, unnest(range(0, n - {LENGTH - 1})) as s from d where n >= {LENGTH})),
+f as (select doc_id, s, row_number() over (partition by g order by doc_id, s) as r from w),
+c as (select doc_id, s, case when s > lag(s) over (partition by doc_id order by s) + {LENGTH} then 1 else 0 end as opens from f where r > 1),
+i as (select doc_id, s, sum(opens) over (partition by doc_id order by s) as k from c),
+spans as (select doc_id, k, min(s) as a, max(s) + {LENGTH} as b from i group by all),
+edges as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as before from spans),
+cut as (select doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept, sum(b - a) as gone, count(*) as runs from edges join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(runs, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join cut using (doc_id)
+"""
