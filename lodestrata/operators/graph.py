@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata import config as C
@@ -84,14 +84,19 @@ def merged_edges(edges: DataFrame) -> DataFrame:
 
 def page_mentions(pages: DataFrame, known: DataFrame, limit: int = 18) -> DataFrame:
     """``(page_id, entity_key, rank)``: entities whose label stands in a page's text, at most ``limit`` by counts. Labels meet
-    pages on their first two characters, which a page has once per distinct pair and carries without its text; the text is
-    fetched for what meets, and the whole label is looked for."""
-    low = F.lower(F.concat_ws("\n", "title", "content"))
+    pages on their first six characters (four, or all, of shorter ones), which a page has once per distinct string and carries
+    without its text; the text is fetched for what meets, and the whole label is looked for."""
     label = F.lower("label")
-    labels = known.where(F.length("label") >= 2).select("entity_key", "wiki_count", "evidence_count", "confidence", label.alias("low"), F.substring(label, 1, 2).alias("head"))
-    texts = pages.select("page_id", low.alias("text"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(2))))
-    heads = texts.select("page_id", F.explode(pairs).alias("head"))
+    size = F.when(F.length(label) >= 6, 6).when(F.length(label) >= 4, 4).otherwise(F.length(label))
+    labels = known.where(F.length("label") >= 2).select("entity_key", "wiki_count", "evidence_count", "confidence", label.alias("low"), F.substring(label, F.lit(1), size).alias("head"))
+    texts = pages.select("page_id", F.lower(F.concat_ws("\n", "title", "content")).alias("text"))
+    tiny = labels.where(F.length("low") < 4).limit(1).count() > 0  # hardly any label is
+
+    def strings(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length("text") - n + 1)
+        return F.when(F.length("text") >= n, F.array_distinct(F.transform(places, lambda i: F.substring("text", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    heads = texts.select("page_id", F.explode(F.concat(*[strings(n) for n in ((2, 3, 4, 6) if tiny else (4, 6))])).alias("head"))
     met = heads.join(labels, "head").drop("head").join(texts, "page_id").where(F.contains("text", "low"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("wiki_count"), F.desc("evidence_count"), F.desc("confidence"), "entity_key"))
     return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("page_id", "entity_key", "rank")

@@ -37,16 +37,20 @@ def with_progress(jobs: DataFrame) -> DataFrame:
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
     """Appends a stream of ``(doc_id, text, ...)`` to a table, one row per content: within a batch the smallest id, across
-    batches what the table doesn't hold. A replayed batch finds its own rows and adds none."""
+    batches what the table doesn't hold. A replayed batch finds its own rows and adds none. The table is partitioned by the
+    hash's beginning (``bucket``), so a batch reads the hashes of its own buckets alone."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
         first = rows.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))
         new = rows.join(first, ["sha256", "doc_id"], "left_semi").dropDuplicates(["sha256"])
+        new = new.withColumn("bucket", F.substring("sha256", 1, 2))
         if _exists(spark, table):
-            new = new.join(spark.read.parquet(table).select("sha256"), "sha256", "left_anti")
-        new.write.mode("append").parquet(table)
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most 256
+            known = spark.read.option("basePath", table).schema("sha256 string, bucket string").parquet(table).where(F.col("bucket").isin(*touched))
+            new = new.join(known.select("sha256"), "sha256", "left_anti")
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(table)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
