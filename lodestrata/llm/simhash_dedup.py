@@ -32,6 +32,8 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and length of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CELL = 16_384
+#: Shingles that are counted at once.
+STRETCH = 50_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTES = (np.arange(8, dtype=np.int64) * 256)[None, :]
 _RECORD = np.dtype([("key", "<u8"), ("fp", "<u8")])
@@ -42,15 +44,18 @@ def fingerprint(text: bytes) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
     if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :])]
-    raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    set_ = (np.bincount((raw + _BYTES).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return int.from_bytes(np.packbits(set_ * 2 > len(hashes), bitorder="little").tobytes(), "little")
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    digest, total = xxhash.xxh64_intdigest, len(words) - SHINGLE + 1
+    counts = np.zeros(64, np.int64)
+    for start in range(0, total, STRETCH):  # a long text's shingles are counted a stretch at a time
+        part = words[start : min(total, start + STRETCH) + SHINGLE - 1]
+        joined = b" ".join(part)
+        ends = list(accumulate(len(w) + 1 for w in part))
+        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[SHINGLE - 1 :])]
+        raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        counts += (np.bincount((raw + _BYTES).ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

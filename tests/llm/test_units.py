@@ -27,12 +27,16 @@ def test_unioned_matches_brute_force():
         assert dict(zip(nodes.tolist(), tops.tolist())) == {x: find(x) for x in list(root) if find(x) != x}
 
 
-def test_fingerprint_bits():
+def test_fingerprint_bits(monkeypatch):
     text = "The quick brown fox\tjumps\n over THE lazy dog dog dog dog dog dog"
     words = text.lower().split()
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(len(words) - 3)]
     want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
     assert simhash_dedup.fingerprint(text.encode()) == want
+    many = text * 40
+    whole = simhash_dedup.fingerprint(many.encode())
+    monkeypatch.setattr(simhash_dedup, "STRETCH", 7)
+    assert simhash_dedup.fingerprint(many.encode()) == whole and simhash_dedup.fingerprint(text.encode()) == want
     assert simhash_dedup.fingerprint(b" \n") == 0 and simhash_dedup.fingerprint(b"One two") == xxhash.xxh64_intdigest("one two", 42)
 
 
