@@ -177,9 +177,16 @@ def wiki_sections(spark, sf_dir):
     return wiki.sections(rows).select(F.col("doc_id").alias("source"), "section", "title", "n_chunks", "first_ordinal", "last_ordinal")
 
 
-@query()
+@query("""with c as (select source, doc_id as chunk_id, lang, text, row_number() over (partition by source order by doc_id) - 1 as ordinal from documents),
+l as (select *, lag(lang) over (partition by source order by ordinal) as before from c),
+i as (select *, sum(case when before is null or before <> lang then 1 else 0 end) over (partition by source order by ordinal) as section from l),
+n as (select *, count(*) over (partition by source, section) as n, row_number() over (partition by source, section order by ordinal) - 1 as place from i),
+e as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as v from n where n <= 12 or list_contains(list_transform(range(0, 12), lambda k: round_even(k * ((n - 1) / 11.0::double), 0)), place::double)),
+p as (select source, section, any_value(lang) as lang, string_agg('- page unknown: ' || rtrim(substr(v, 1, 360)) || case when len(v) > 360 then '...' else '' end || ' [E:' || chunk_id || ']', chr(10) order by ordinal) as lines from e group by source, section)
+select source as doc_id, cast(section as bigint) as section, sha256('# ' || source || ' / ' || lang || replace('~~> 该页由确定性编译器生成，因为本地模型输出未通过引用校验。~> 原因：deterministic~~## 证据摘要~~', '~', chr(10)) || lines || replace('~~## 编译说明~~- 本页只使用列出的原始证据块。~- 如需更精细的概念页，可在审核后从本章节继续生成 claim 与关系。', '~', chr(10))) as content_hash from p""")
 def wiki_pages(spark, sf_dir):
-    return wiki.section_pages(_section_evidence(spark, sf_dir), "deterministic")
+    out = wiki.section_pages(_section_evidence(spark, sf_dir), "deterministic")
+    return out.select("doc_id", F.col("section").cast("long").alias("section"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"))
 
 
 def _section_evidence(spark, sf_dir):
