@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from lodestrata.llm.common import byte_column, held, pieces, ship
 
-#: Pre-tokens longer than this are encoded afresh; the table holds at most CACHE_ROWS shorter ones (about 90 MB).
-CACHE_BYTES, CACHE_ROWS = 64, 400_000
+#: Pre-tokens longer than this are encoded afresh; the table holds at most CACHE_ROWS shorter ones (about 130 MB).
+CACHE_BYTES, CACHE_ROWS = 64, 600_000
 
 
 _BIT = tuple(1 << i for i in range(256))
