@@ -84,19 +84,19 @@ def merged_edges(edges: DataFrame) -> DataFrame:
 
 def page_mentions(pages: DataFrame, known: DataFrame, limit: int = 18) -> DataFrame:
     """``(page_id, entity_key, rank)``: entities whose label stands in a page's text, at most ``limit`` by counts. Labels meet
-    pages on their first six characters (four, or all, of shorter ones), which a page has once per distinct string and carries
-    without its text; the text is fetched for what meets, and the whole label is looked for."""
+    pages on their first ten characters (eight, six, four, or all, of shorter ones), which a page has once per distinct string
+    and carries without its text; the text is fetched for what meets, and the whole label is looked for."""
     label = F.lower("label")
-    size = F.when(F.length(label) >= 6, 6).when(F.length(label) >= 4, 4).otherwise(F.length(label))
+    n = F.length(label)
+    size = F.when(n >= 10, 10).when(n >= 8, 8).when(n >= 6, 6).when(n >= 4, 4).otherwise(n)
     labels = known.where(F.length("label") >= 2).select("entity_key", "wiki_count", "evidence_count", "confidence", label.alias("low"), F.substring(label, F.lit(1), size).alias("head"))
     texts = pages.select("page_id", F.lower(F.concat_ws("\n", "title", "content")).alias("text"))
-    tiny = labels.where(F.length("low") < 4).limit(1).count() > 0  # hardly any label is
 
     def strings(n: int) -> Column:
         places = F.sequence(F.lit(1), F.length("text") - n + 1)
         return F.when(F.length("text") >= n, F.array_distinct(F.transform(places, lambda i: F.substring("text", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-    heads = texts.select("page_id", F.explode(F.concat(*[strings(n) for n in ((2, 3, 4, 6) if tiny else (4, 6))])).alias("head"))
+    heads = texts.select("page_id", F.explode(F.concat(*[strings(n) for n in (2, 3, 4, 6, 8, 10)])).alias("head"))
     met = heads.join(labels, "head").drop("head").join(texts, "page_id").where(F.contains("text", "low"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("wiki_count"), F.desc("evidence_count"), F.desc("confidence"), "entity_key"))
     return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("page_id", "entity_key", "rank")
@@ -172,8 +172,8 @@ def hetero_graph(documents: DataFrame, pages: DataFrame, chunks: DataFrame, enti
     edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"))
     cited = pages.select("slug", F.explode(T.citations(F.coalesce("content", F.lit("")))).alias("chunk_id"))
     linked, concepts = page_links(pages)
-    bare = entities_.limit(1).count() == 0
-    named = concepts.join(pages.select("page_id", "slug"), "page_id").withColumn("key", T.slug(F.col("concept")))
+    bare = entities_.agg((F.count("*") == 0).alias("bare"))  # one row
+    named = concepts.join(pages.select("page_id", "slug"), "page_id").withColumn("key", T.slug(F.col("concept"))).join(F.broadcast(bare)).where("bare")
     mentions = page_mentions(pages, entities_).join(pages.select("page_id", "slug"), "page_id")
     nodes = [
         documents.select(node("doc", "document_id").alias("node"), F.lit("document").alias("type"), F.col("title").alias("label")),
@@ -189,9 +189,8 @@ def hetero_graph(documents: DataFrame, pages: DataFrame, chunks: DataFrame, enti
         edge(chunks.join(cited.select("chunk_id").distinct(), "chunk_id", "left_semi"), node("evidence", "chunk_id"), node("doc", "document_id"), "from_document"),
         relations_.select(node("entity", "source_key").alias("src"), node("entity", "target_key").alias("dst"), F.col("relation_type").alias("edge_type")),
     ]
-    if bare:
-        nodes.append(named.groupBy(node("concept", "key").alias("node")).agg(F.lit("concept").alias("type"), F.max_by("concept", "page_id").alias("label")))
-        edges.append(edge(named, node("wiki", "slug"), node("concept", "key"), "mentions"))
+    nodes.append(named.groupBy(node("concept", "key").alias("node")).agg(F.lit("concept").alias("type"), F.max_by("concept", "page_id").alias("label")))
+    edges.append(edge(named, node("wiki", "slug"), node("concept", "key"), "mentions"))
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     return union(nodes), union(edges).distinct()
 
