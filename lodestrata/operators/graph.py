@@ -82,24 +82,41 @@ def merged_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "edge_type").agg(F.min("seq").alias("seq"))
 
 
+#: So many of the most used labels are looked for in each page at first.
+MOST_USED = 64
+
+
 def page_mentions(pages: DataFrame, known: DataFrame, limit: int = 18) -> DataFrame:
-    """``(page_id, entity_key, rank)``: entities whose label stands in a page's text, at most ``limit`` by counts. Labels meet
-    pages on their first ten characters (eight, six, four, or all, of shorter ones), which a page has once per distinct string
-    and carries without its text; the text is fetched for what meets, and the whole label is looked for."""
-    label = F.lower("label")
-    n = F.length(label)
-    size = F.when(n >= 10, 10).when(n >= 8, 8).when(n >= 6, 6).when(n >= 4, 4).otherwise(n)
-    labels = known.where(F.length("label") >= 2).select("entity_key", "wiki_count", "evidence_count", "confidence", label.alias("low"), F.substring(label, F.lit(1), size).alias("head"))
+    """``(page_id, entity_key, rank)``: entities whose label stands in a page's text, at most ``limit`` by counts. The first
+    ``MOST_USED`` labels in that order are looked for in every page; where ``limit`` of them stand, no other label can count.
+    Pages with fewer are met with all labels."""
+    order = (F.desc("wiki_count"), F.desc("evidence_count"), F.desc("confidence"), F.col("entity_key"))
+    labels = known.where(F.length("label") >= 2).select("entity_key", "wiki_count", "evidence_count", "confidence", F.lower("label").alias("low"))
     texts = pages.select("page_id", F.lower(F.concat_ws("\n", "title", "content")).alias("text"))
+    most = labels.orderBy(*order).limit(MOST_USED).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    most = most.agg(F.array_sort(F.collect_list(F.struct("rank", "entity_key", "low"))).alias("most"))  # one row
+    tried = texts.join(F.broadcast(most)).withColumn("held", F.filter("most", lambda x: F.contains(F.col("text"), x["low"]))).drop("most")
+    full = tried.where(F.size("held") >= limit).select("page_id", F.posexplode(F.slice("held", 1, limit)).alias("at", "x"))
+    met = _met_labels(tried.where(F.size("held") < limit).select("page_id", "text"), labels)
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
+    rest = met.withColumn("rank", rank).where(F.col("rank") <= limit).select("page_id", "entity_key", "rank")
+    return full.select("page_id", F.col("x.entity_key").alias("entity_key"), (F.col("at") + 1).alias("rank")).unionByName(rest)
+
+
+def _met_labels(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` that stand in ``texts(page_id, text)``. They meet on the label's first ten characters (eight, six, four, or
+    all, of shorter ones), which a page has once per distinct string and carries without its text; the text is fetched for
+    what meets, and the whole label is looked for."""
+    n = F.length("low")
+    size = F.when(n >= 10, 10).when(n >= 8, 8).when(n >= 6, 6).when(n >= 4, 4).otherwise(n)
+    heads_of = labels.withColumn("head", F.substring("low", F.lit(1), size))
 
     def strings(n: int) -> Column:
         places = F.sequence(F.lit(1), F.length("text") - n + 1)
         return F.when(F.length("text") >= n, F.array_distinct(F.transform(places, lambda i: F.substring("text", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
     heads = texts.select("page_id", F.explode(F.concat(*[strings(n) for n in (2, 3, 4, 6, 8, 10)])).alias("head"))
-    met = heads.join(labels, "head").drop("head").join(texts, "page_id").where(F.contains("text", "low"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("wiki_count"), F.desc("evidence_count"), F.desc("confidence"), "entity_key"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("page_id", "entity_key", "rank")
+    return heads.join(heads_of, "head").drop("head").join(texts, "page_id").where(F.contains("text", "low"))
 
 
 def neighbourhood(edges: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -94,6 +94,26 @@ def test_graph_without_entities_has_concepts(spark):
     assert {tuple(r) for r in edges.collect()} == {("doc:7", "wiki:a", "compiled_to"), ("wiki:a", "evidence:2", "cites"), ("wiki:a", "wiki:b", "links_to"), ("wiki:a", "concept:topic", "mentions"), ("evidence:2", "doc:7", "from_document")}
 
 
+def test_mentions_of_the_most_used_labels(spark, monkeypatch):
+    # pages 0 to 3 hold ever fewer of thirty labels, which have ties in their counts; page 4 has no text
+    words = [f"{a}{b}{'xyz' * (i % 4)}" for i, (a, b) in enumerate((a, b) for a in "kmnpr" for b in "aeiou")] + ["longer label of words", "é", "éa", "ab", "b"]
+    known = [(w, w.upper(), i % 5, i % 3, 0.5) for i, w in enumerate(words)]
+    pages = [(p, "Page", " - ".join(words[: 30 - 6 * p])) for p in range(4)] + [(4, None, None)]
+    known_rows = spark.createDataFrame(known, "entity_key string, label string, wiki_count long, evidence_count long, confidence double")
+    page_rows = spark.createDataFrame(pages, "page_id long, title string, content string")
+    want = set()
+    for p, title, content in pages:
+        text = "\n".join(x for x in (title, content) if x is not None).lower()
+        held = sorted((k for k in known if len(k[0]) > 1 and k[0] in text), key=lambda k: (-k[2], -k[3], k[0]))
+        want |= {(p, k[0], i + 1) for i, k in enumerate(held[:7])}
+    sought, whole = [], graph._met_labels
+    monkeypatch.setattr(graph, "_met_labels", lambda texts, labels: sought.append({r.page_id for r in texts.collect()}) or whole(texts, labels))
+    for most in (64, 12, 1):
+        monkeypatch.setattr(graph, "MOST_USED", most)
+        assert {tuple(r) for r in graph.page_mentions(page_rows, known_rows, 7).collect()} == want
+    assert sought[0] == {4} and sought[2] == {0, 1, 2, 3, 4}
+
+
 def test_reviews_of_pages_that_share_a_slug(spark, tmp_path):
     import duckdb
 
