@@ -277,6 +277,19 @@ def test_passages_that_no_first_holder_shares(spark):
     assert got[4, 3] == 60 and any(pair[0] == 7 and pair[1] in (3, 4) for pair in got)
 
 
+def test_passages_whose_seeds_all_have_earlier_holders(spark):
+    # 2, 4 and 6 share 60 words; 1, 3, and 5 hold stretches of these in other company, so no holder is first or next to another
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    shared = word(60)
+    torn = lambda: [w for k in range(0, 60, 6) for w in (*shared[max(0, k - 5) : k + 11], *word(30))]
+    bent = lambda k: [f"x{k}" if i % 20 == k else w for i, w in enumerate(shared)]
+    rows = [(1, torn()), (2, word(20) + bent(2) + word(20)), (3, torn()), (4, word(9) + bent(9) + word(5)), (5, torn()), (6, bent(16) + word(30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in chained_passages.passages(docs.coalesce(1)).collect()}
+    assert got >= {(4, 2), (6, 2), (6, 4)}
+
+
 def test_passages_of_texts_that_repeat_themselves(spark):
     rows = [(1, ["start", *["a", "b"] * 200, "end"]), (2, ["a", "b"] * 300), (3, ["x", *["a", "b"] * 100])]
     got = chained_passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()

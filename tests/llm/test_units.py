@@ -176,6 +176,18 @@ def test_common_words_match_brute_force():
         assert chained_passages.common_words(x, y) == row[-1]
 
 
+def test_occurrences_that_meet(monkeypatch):
+    key, doc, pos = np.array([8, 8, 5, 8, 5, 8], np.uint64), np.array([3, 1, 7, 2, 7, 3], np.int64), np.array([4, 9, 0, 6, 5, 1], np.uint32)
+    pairs = lambda found: sorted(zip(*(v.tolist() for v in found)))
+    on, found = chained_passages.met(key, doc, pos)
+    assert sorted(on) == [0, 1, 2, 3, 4, 5] and pairs(found) == [(2, 1, 1, 6, 9, 0), (3, 1, 1, 1, 9, 0), (3, 1, 1, 4, 9, 0), (3, 2, 1, 1, 6, 0), (3, 2, 1, 4, 6, 0)]
+    assert len(chained_passages.met(key, doc, pos, False)[1][0]) == 0
+    monkeypatch.setattr(chained_passages, "PAIRS", 3)
+    on, found = chained_passages.met(key, doc, pos, False)
+    assert sorted(on) == [1, 2, 4] and pairs(found) == [(2, 1, 1, 6, 9, 0), (3, 1, 1, 1, 9, 0), (3, 1, 1, 4, 9, 0), (3, 2, 1, 1, 6, 4)]
+    assert chained_passages.met(key[:0], doc[:0], pos[:0])[0].size == 0
+
+
 def test_best_chain_matches_brute_force():
     rng = random.Random(11)
     for _ in range(200):
