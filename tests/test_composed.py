@@ -114,6 +114,28 @@ def test_mentions_of_the_most_used_labels(spark, monkeypatch):
     assert sought[0] == {4} and sought[2] == {0, 1, 2, 3, 4}
 
 
+def test_context_of_pages_with_many_and_few_labels(spark, tmp_path, monkeypatch):
+    # page 0 holds all labels, page 1 the first three, page 2 none, page 3 shares the slug of page 0; only 1 and 2 meet all labels
+    import duckdb
+
+    from lodestrata import plans
+
+    words = [f"{a}{b}x{'yz' * (i % 3)}" for i, (a, b) in enumerate((a, b) for a in "KMNPR" for b in "aeiou")]
+    spark.createDataFrame([(i, f"{w} and {words[i * i % 25]} end", "s") for i, w in enumerate(words)], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = (" or ".join(words), " or ".join(words[:3]), "nothing", " or ".join(reversed(words)))
+    spark.createDataFrame([(i, f"u{i % 3}", f"<p>{t}</p>") for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    for table in ("documents", "pages"):
+        duck.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    want = sorted(duck.execute(plans.oracle_sql()["wiki_context"]).fetchall())
+    sought, whole = [], graph._met_labels
+    monkeypatch.setattr(graph, "_met_labels", lambda texts, labels: sought.append({r.page_id for r in texts.collect()}) or whole(texts, labels))
+    got = plans.queries()["wiki_context"](spark, str(tmp_path)).select("node", "entities", "evidence", "outlinks", "backlinks")
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 4 and sought == [{1, 2}]
+    held = {node: entities.split(",") if entities else [] for node, entities, *_ in want}
+    assert {k: len(v) for k, v in held.items()} == {"wiki:u0": 12, "wiki:u1": 3, "wiki:u2": 0}
+
+
 def test_reviews_of_pages_that_share_a_slug(spark, tmp_path):
     import duckdb
 
