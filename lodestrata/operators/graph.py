@@ -84,6 +84,8 @@ def merged_edges(edges: DataFrame) -> DataFrame:
 
 #: So many of the most used labels are looked for in each page at first.
 MOST_USED = 64
+#: A place in a text is found by counting from its start, so texts are cut into stretches of so many places first.
+STRETCH = 256
 
 
 def page_mentions(pages: DataFrame, known: DataFrame, limit: int = 18) -> DataFrame:
@@ -111,9 +113,14 @@ def _met_labels(texts: DataFrame, labels: DataFrame) -> DataFrame:
     size = F.when(n >= 10, 10).when(n >= 8, 8).when(n >= 6, 6).when(n >= 4, 4).otherwise(n)
     heads_of = labels.withColumn("head", F.substring("low", F.lit(1), size))
 
+    none = F.array().cast("array<string>")
+
     def strings(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.length("text") - n + 1)
-        return F.when(F.length("text") >= n, F.array_distinct(F.transform(places, lambda i: F.substring("text", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+        def of(part: Column) -> Column:
+            return F.when(F.length(part) >= n, F.transform(F.sequence(F.lit(1), F.length(part) - n + 1), lambda i: F.substring(part, i, F.lit(n)))).otherwise(none)
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / STRETCH).cast("int")), lambda k: F.substring("text", k * STRETCH + 1, F.lit(STRETCH + n - 1)))
+        return F.array_distinct(F.flatten(F.transform(parts, of)))
 
     heads = texts.select("page_id", F.explode(F.concat(*[strings(n) for n in (2, 3, 4, 6, 8, 10)])).alias("head"))
     return heads.join(heads_of, "head").drop("head").join(texts, "page_id").where(F.contains("text", "low"))

@@ -1,6 +1,7 @@
 """Composed operators on cases of their own: search under filters, evidence rules, model outputs, row changes, files."""
 
 import io
+import time
 import zipfile
 
 import pytest
@@ -114,6 +115,18 @@ def test_mentions_of_the_most_used_labels(spark, monkeypatch):
     assert sought[0] == {4} and sought[2] == {0, 1, 2, 3, 4}
 
 
+def test_labels_in_texts_of_any_length(spark):
+    # a long text takes time in proportion; labels lie over the ends of stretches, and no label comes twice
+    sizes = [0, 1, 9, *range(graph.STRETCH - 12, graph.STRETCH + 12), 3 * graph.STRETCH]
+    ends = [(i, "é" * n + "tail of label") for i, n in enumerate(sizes)] + [(90, "ab"), (91, "")]
+    rows = [(100, "word " * 80_000 + "tail of label"), *ends]
+    labels = spark.createDataFrame([(x,) for x in ("tail of label", "of la", "ab", "label", "éta", "absent")], "low string")
+    began = time.monotonic()
+    got = sorted((r.page_id, r.low) for r in graph._met_labels(spark.createDataFrame(rows, "page_id long, text string"), labels).collect())
+    assert got == sorted((i, x.low) for i, t in rows for x in labels.collect() if x.low in t)
+    assert time.monotonic() - began < 60
+
+
 def test_context_of_pages_with_many_and_few_labels(spark, tmp_path, monkeypatch):
     # page 0 holds all labels, page 1 the first three, page 2 none, page 3 shares the slug of page 0; only 1 and 2 meet all labels
     import duckdb
