@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import byte_column, components, packed, partitions, pieces, ship, unioned, unpacked, unused, written
+from lodestrata.llm.common import byte_column, components, dropped, packed, partitions, pieces, ship, unioned, unpacked, unused, written
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and length of each segment.
@@ -172,7 +172,10 @@ def rooted(prints: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = distinct.select("fp").mapInArrow(spread, "bucket int, blob binary").repartition(buckets // 4, "bucket")
-    roots = components(dealt.mapInArrow(verify, "a long, b long"))
+    # as a table of its own: a task of two Python steps takes two workers, and later tasks then take turns with twice as many
+    near = written(dealt.mapInArrow(verify, "a long, b long"), "near-prints")
+    roots = components(near)
+    dropped(near)
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 

@@ -358,6 +358,32 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (20, 1, 0), (20, 2, 1), (20, 3, 2), (40, 1, 0), (40, 2, 1), (40, 3, 2)}
 
 
+def python_steps(plan):
+    """The most Python nodes on a way through one stage of the plan, and the nodes since the stage's beginning."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return python_steps(plan.executedPlan())
+    below = [python_steps(plan.children().apply(i)) for i in range(plan.children().size())]
+    most, here = (max((x[i] for x in below), default=0) for i in (0, 1))
+    here = 0 if "Exchange" in plan.nodeName() else here + ("MapInArrow" in plan.nodeName())
+    return max(most, here), here
+
+
+def test_pipeline_tasks_take_one_python_worker(spark, sf_dir, monkeypatch):
+    """Else an executor ends up with more workers than cores, and each keeps its own table of pieces in the BPE stage."""
+    steps, write = [], common.written
+
+    def counted(df, name):
+        steps.append((name, python_steps(df._jdf.queryExecution().executedPlan())[0]))
+        return write(df, name)
+
+    for module in (common, line_dedup, simhash_dedup):
+        monkeypatch.setattr(module, "written", counted)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = counted(stage(spark, docs, sf_dir), name)
+    assert len(steps) > len(corpus_pipeline.STAGES) and max(n for _, n in steps) == 1, steps
+
+
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns = docs.columns
