@@ -3,6 +3,7 @@
 import base64
 import random
 import textwrap
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -188,6 +189,55 @@ def test_occurrences_that_meet(monkeypatch):
     assert chained_passages.met(key[:0], doc[:0], pos[:0])[0].size == 0
 
 
+def dealt(fields, buckets=3):
+    """Packed records as a task gets them: several blobs for each bucket, which their first field decides."""
+    out = {}
+    for part in (slice(0, None, 2), slice(1, None, 2)):
+        chained_passages._by_bucket(suffix_dedup._dealt(0, fields[0][part].view(np.uint64), [x[part] for x in fields], buckets), out)
+    return out
+
+
+def test_matches_by_parts(monkeypatch):
+    rng = np.random.default_rng(11)
+    key = np.r_[rng.integers(0, 400, 3_000), np.full(500, 7), np.full(150, 9)].astype(np.uint64)  # two keys of more than PAIRS
+    doc, pos = rng.integers(0, 300, len(key)), rng.integers(0, 5_000, len(key)).astype(np.uint32)
+    whole = chained_passages.met(key, doc, pos)[1]
+    monkeypatch.setattr(chained_passages, "AT_ONCE", 1_000)
+    parts = list(chained_passages.met_by_parts(dealt([key, doc, pos])))
+    rows = lambda x: sorted(zip(*(v.tolist() for v in x)))
+    assert len(parts) > 10 and max(len(p[0]) for p in parts) <= 1_000 and rows(whole) == sorted(r for p in parts for r in rows(p))
+    assert list(chained_passages.met_by_parts({})) == [] and list(chained_passages.stretches(key[:0], 5)) == []
+    for weight in (1, 100, 10**6):  # a key of more than the limit stands alone, and no key is in two stretches
+        found = list(chained_passages.stretches(key, weight))
+        assert sorted(np.concatenate(found)) == [*range(len(key))] and len({k for f in found for k in set(key[f].tolist())}) == sum(len(set(key[f].tolist())) for f in found)
+        assert all(len(f) <= weight or len(set(key[f].tolist())) == 1 for f in found)
+
+
+def test_chains_by_parts_take_less_memory(monkeypatch):
+    # 600 documents share passages with up to 12 before them: seeds of 5 words at every other place, the first holder in lead
+    rng, records = np.random.default_rng(12), []
+    for doc in range(600):
+        others = sorted(rng.choice(10_000, 12, replace=False) - 20_000)
+        for other in others:
+            n, pos, at = int(rng.integers(5, 40)), int(rng.integers(0, 500)), int(rng.integers(0, 500))
+            records += [(doc, other, others[0], pos + 2 * i, at + 2 * i + (i > 20), 0) for i in range(n)]
+    fields = [np.array(x, np.dtype(kind)) for x, (_, kind) in zip(zip(*records), chained_passages._MATCH)]
+
+    def measured(run):
+        tracemalloc.start()
+        out = run()
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return out, peak
+
+    whole, before = measured(lambda: chained_passages.pair_chains(*fields))
+    monkeypatch.setattr(chained_passages, "AT_ONCE", 5_000)
+    blobs = dealt(fields, 8)
+    parts, peak = measured(lambda: [r for rows in chained_passages.chained_by_parts(blobs) for r in rows])
+    assert len(whole) > 5_000 and sorted(parts) == sorted(whole) and not blobs
+    assert peak < before / 2
+
+
 def test_best_chain_matches_brute_force():
     rng = random.Random(11)
     for _ in range(200):
