@@ -395,3 +395,15 @@ def test_a_text_of_a_million_lines_takes_bounded_memory():
     model.weights = np.random.default_rng(5).normal(0, 1, 3 * crf_quality._OWN - 2)
     assert 0 <= model.score([b"\n" * 2_000_000, b"x\n" * 300_000])[0] <= 1
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000  # KB
+
+
+def test_lean_steps_give_back_what_they_took(monkeypatch):
+    monkeypatch.setattr(common, "_HELD", {"table": [0]})
+    seen = []
+
+    def step(batches):
+        for batch in batches:
+            seen.append(dict(common._HELD))
+            yield batch + 1
+
+    assert list(common.lean(step)(iter([1, 2]))) == [2, 3] and seen == [{"table": [0]}] * 2 and not common._HELD
