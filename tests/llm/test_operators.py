@@ -290,6 +290,26 @@ def test_passages_whose_seeds_all_have_earlier_holders(spark):
     assert got >= {(4, 2), (6, 2), (6, 4)}
 
 
+def test_passages_of_frequent_seeds(spark):
+    # 80 texts before, and 40 between, hold stretches of what 100 and 200 share; 300 to 369 are near copies, with an edit in about twenty words
+    rng = np.random.default_rng(17)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    shared, copied = word(60), word(90)
+    torn = lambda: [w for k in range(0, 60, 6) for w in (*shared[max(0, k - 5) : k + 11], *word(30))]
+    bent = lambda k: [f"x{k}" if i % 20 == k else w for i, w in enumerate(shared)]
+    edits = lambda v: [[v], word(1), [v, v], []][rng.choice(4, p=[0.95, 0.03, 0.01, 0.01])]
+    near = lambda: [w for v in copied for w in edits(v)]
+    rows = {i: torn() for i in (*range(80), *range(101, 141))} | {100: word(20) + bent(2) + word(20), 200: word(9) + bent(9) + word(5)}
+    rows |= {i: word(30) + near() + word(20) for i in range(300, 370)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    forty = {i: {tuple(rows[i][k : k + 40]) for k in range(len(rows[i]) - 39)} for i in range(300, 370)}
+    for df in (docs.coalesce(1), docs.repartition(3)):
+        got = {(r.doc_id, r.other_id) for r in chained_passages.passages(df).collect()}
+        assert (200, 100) in got
+        missing = [(a, b) for a in range(300, 370) for b in range(300, a) if (a, b) not in got and forty[a].isdisjoint(forty[b])]
+        assert len(missing) <= 0.01 * 70 * 69 / 2, len(missing)
+
+
 def test_passages_of_texts_that_repeat_themselves(spark):
     rows = [(1, ["start", *["a", "b"] * 200, "end"]), (2, ["a", "b"] * 300), (3, ["x", *["a", "b"] * 100])]
     got = chained_passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
