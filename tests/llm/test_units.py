@@ -238,6 +238,41 @@ def test_chains_by_parts_take_less_memory(monkeypatch):
     assert peak < before / 2
 
 
+def test_runs_of_frequent_seeds_by_parts(monkeypatch):
+    # 80 texts of 300 words that all hold, with an edit in about thirty of them; each equal run of 40 words is linked with its first holder
+    rng = random.Random(19)
+    shared = [f"v{i}".encode() for i in range(300)]
+    texts = [[b"w%d" % rng.randrange(10**6) if rng.random() < 0.03 else w for w in shared] for _ in range(80)]
+    text, at, key = chained_passages.seeds(texts)
+    often = chained_passages.frequent(key, np.zeros(len(key)))
+    held = []
+    for doc, words in enumerate(texts):
+        mine = often & (text == doc)
+        keys, pos, five, around = chained_passages.neighbourhoods(words, key[mine], at[mine])
+        held.append((keys, np.full(len(keys), doc, np.int64), pos, five, around))
+    fields = [np.concatenate(x) for x in zip(*held)]
+
+    def runs():
+        out = []
+        for batch in chained_passages.runs_by_parts(dealt(fields)):
+            out += [(d, o, *chained_passages.unpacked_chains(c)[0][0]) for d, o, c in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+        return out
+
+    found = runs()
+    assert all(texts[d][p : p + n] == texts[o][a : a + n] for d, o, p, a, n in found)
+    links, first = set(), {}
+    for doc, words in enumerate(texts):
+        starts = set(at[often & (text == doc) & (key & np.uint64(3) == 0)].tolist())
+        for i in range(len(words) - 39):
+            lead = first.setdefault((i, *words[i : i + 40]), doc)
+            if lead != doc and starts & {*range(i, i + 36)}:
+                links.add((doc, lead))
+    assert len(links) > 200 and links <= {x[:2] for x in found}
+    assert len([x for x in found if x[4] == 40]) < 8 * len(links)
+    monkeypatch.setattr(chained_passages, "TOGETHER", 1)
+    assert set(runs()) == set(found)
+
+
 def test_best_chain_matches_brute_force():
     rng = random.Random(11)
     for _ in range(200):
