@@ -310,6 +310,17 @@ def test_passages_of_frequent_seeds(spark):
         assert len(missing) <= 0.01 * 70 * 69 / 2, len(missing)
 
 
+def test_short_texts_are_aligned_once(spark):
+    rng = np.random.default_rng(43)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
+    near = [f"x{i}" if i % 25 == 7 else w for i, w in enumerate(words)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    run = np.array([1, 133, 133, 24], "<u4").tobytes()  # from here the passage goes on to both texts' ends
+    found = spark.createDataFrame([(2, 1, bytearray(run))], "doc_id long, other_id long, chain binary")
+    once, = chained_passages._aligned_chains(found, rows, chained_passages.MARGIN).collect()
+    assert not once.cut and (once.start_word, once.end_word, once.n_equal) == (0, 300, 288)
+
+
 def test_passages_of_texts_that_repeat_themselves(spark):
     rows = [(1, ["start", *["a", "b"] * 200, "end"]), (2, ["a", "b"] * 300), (3, ["x", *["a", "b"] * 100])]
     got = chained_passages.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
